@@ -143,15 +143,13 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, max_rows: int = 2500,
     """Learns from at most ``max_rows`` labelled texts of at most ``max_bytes`` UTF-8 bytes.
 
     Rows whose crc32(doc_id as text) mod ``fold`` is 1 are never learned from.
-    The sample is the rows of smallest hash, half for each label where there
-    are enough, so it is the same whatever the partitioning.
+    The sample is drawn from the labels of smallest id hash, half for each
+    value, so it is the same whatever the partitioning.
     """
-    lab = labels.where(~held_out("doc_id", fold) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(lab, "doc_id")
-    keyed = rows.withColumn("_o", F.xxhash64("doc_id"))
-    pick = []
-    for q in (0, 1):
-        pick += keyed.where(F.col("quality") == q).orderBy("_o", "doc_id", "text").limit(max_rows // 2).collect()
+    lab = labels.where(~held_out("doc_id", fold) & F.col("quality").isin(0, 1)).select("doc_id", "quality").withColumn("_o", F.xxhash64("doc_id"))
+    least = [lab.where(F.col("quality") == q).orderBy("_o", "doc_id").limit(max_rows // 2) for q in (0, 1)]  # ids only, and never more than max_rows
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(least[0].union(least[1])), "doc_id")
+    pick = sorted(rows.collect(), key=lambda x: (x["_o"], x["doc_id"], x["text"], x["quality"]))[:max_rows]
     texts = [x["text"].encode() for x in pick]
     return trained(texts, np.array([x["quality"] for x in pick], np.float64))
 
