@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, ngram_join, quality, topk
+from . import language_model, ngram_join, pii, quality, secrets, topk
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,10 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def of_kind(k: int) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == k
+
+
 @query
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -49,3 +53,19 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.perplexity_scores(spark, read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    many = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    spans = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", *many, F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"), secrets.digest(spans).alias("spans"))
+
+
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    many = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    spans = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", *many, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(spans).alias("spans"))
