@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, ngram_join, pii, quality, secrets, topk
+from . import ivf_pq, language_model, ngram_join, pii, quality, secrets, topk
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     many = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     spans = F.array_sort(F.concat("base", "added"))
     return found.select("doc_id", *many, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(spans).alias("spans"))
+
+
+@query
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & ivf_pq.usable(F.col("embedding")))
+    rows = rows.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("z"))
+    return ivf_pq.search(rows.where(F.col("id") % 100 == 0), rows, k=10)
