@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ivf_pq, language_model, ngram_join, pii, quality, secrets, topk
+from . import ivf_pq, language_model, line_dedup, ngram_join, pii, quality, secrets, topk
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,27 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & ivf_pq.usable(F.col("embedding")))
     rows = rows.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("z"))
     return ivf_pq.search(rows.where(F.col("id") % 100 == 0), rows, k=10)
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated(read(spark, sf_dir, "documents"))
+    n = F.size(F.coalesce("_gone", F.array().cast("array<int>"))).cast("long")
+    return out.select("doc_id", n.alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+ORACLE["op7_line_dedup"] = r"""
+WITH parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(generate_series(0, len(ls) - 1)) AS pos, unnest(ls) AS line FROM parts WHERE doc_id IS NOT NULL),
+w AS (SELECT doc_id, pos, line, string_split(trim(regexp_replace(line, '[\x09-\x0D\x20]+', ' ', 'g')), ' ') AS ws FROM l),
+c AS (SELECT ws, len(ws) AS n, min((doc_id, pos)) AS first FROM w WHERE len(ws) >= 5 GROUP BY ws),
+v AS (SELECT ws, n, first, unnest(generate_series(1, n)) AS i FROM c WHERE n >= 8),
+d AS (SELECT ws, n, first, i, list_concat(ws[1:i-1], ws[i+1:n]) AS k FROM v),
+near AS (SELECT DISTINCT a.ws FROM d a JOIN (SELECT k, i, n, min(first) AS f FROM d GROUP BY ALL) b ON a.k = b.k AND a.i = b.i AND a.n = b.n WHERE b.f < a.first
+         UNION SELECT DISTINCT a.ws FROM d a JOIN c b ON b.ws = a.k AND b.n >= 8 WHERE b.first < a.first
+         UNION SELECT DISTINCT b.ws FROM d a JOIN c b ON b.ws = a.k AND b.n >= 8 WHERE a.first < b.first),
+gone AS (SELECT w.doc_id, w.pos FROM w JOIN c ON c.ws = w.ws LEFT JOIN near ON near.ws = w.ws WHERE near.ws IS NOT NULL OR c.first < (w.doc_id, w.pos)),
+s AS (SELECT l.doc_id, count(g.pos) AS n_removed, string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos) AS t FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(CASE WHEN n_removed > 0 THEN t ELSE d.text END, '')) AS text_sha256
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id
+"""
