@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -192,48 +192,50 @@ def trie_matches(centre: np.ndarray, sets: list[np.ndarray], order: list[np.ndar
     return ok
 
 
+FEW = 250_000  # documents whose part in a comparison is broadcast to the scan of the texts; more are joined by shuffle
+TREE = 256  # partners of a centre that share one tree
+
+
 def verified(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of document ids whose sets reach the similarity. Sets are made again from the texts of the documents in question."""
-    chunk = 256  # partners of a centre that share one tree
-    numbered = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)))
-    want = numbered.select(F.col("a").alias("doc_id")).union(numbered.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(want, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    trees = pairs.groupBy("a").agg(F.ceil(F.count("*") / TREE).cast("int").alias("trees"))
+    pairs = pairs.join(trees, "a").withColumn("part", F.pmod(F.xxhash64("b"), "trees").cast("int"))
+    centre = trees.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("part"), "a", F.lit(None).cast("long").alias("b"))
+    partner = pairs.select(F.col("b").alias("doc_id"), "part", "a", "b")
+    roles = saved(centre.unionByName(partner).groupBy("doc_id").agg(F.collect_list(F.struct("a", "part", "b")).alias("roles")), "roles")
+    few = roles.count() <= FEW
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(roles) if few else roles, "doc_id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, text in slices(b, 1):
+            for part, text in slices(b, 0):
                 h, size = shingle_sets(text, n)
-                h = ordered(h, size, rare)
-                first = np.r_[0, np.cumsum(size)] * 8
-                raw = h.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[x:y] for x, y in zip(first, first[1:], strict=False)], pa.binary())], ["doc_id", "elements"])
+                raw, first = ordered(h, size, rare).tobytes(), np.r_[0, np.cumsum(size)] * 8
+                yield pa.RecordBatch.from_arrays([pa.array([raw[x:y] for x, y in zip(first, first[1:], strict=False)], pa.binary()), part.column(1)], ["elements", "roles"])
 
-    sets = saved(texts.mapInArrow(make, "doc_id long, elements binary"), "sets")
-    centres = numbered.select("a", "part").distinct().join(sets, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(None).cast("long").alias("b"), "elements")
-    partners = numbered.join(sets, F.col("b") == F.col("doc_id")).select("a", "part", "b", "elements")
-    both = centres.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    sets = wanted.select("text", "roles").mapInArrow(make, "elements binary, roles array<struct<a:long,part:int,b:long>>")
+    both = sets.select(F.explode("roles").alias("r"), "elements").select("r.a", "r.part", "r.b", "elements")
+    both = both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, key, held = None, None, []
 
         def tree() -> pa.RecordBatch:
             els = [np.frombuffer(e, np.uint64) for _, e in held]
-            order = [((rare[(e >> np.uint64(46)).astype(np.int64)].astype(">u4").reshape(-1, 1).view(np.uint8)), e.astype(">u8").reshape(-1, 1).view(np.uint8)) for e in els]
-            ok = trie_matches(centre, els, [np.hstack(o) for o in order], percent)
+            order = [np.hstack([rare[(e >> np.uint64(46)).astype(np.int64)].astype(">u4").reshape(-1, 1).view(np.uint8), e.astype(">u8").reshape(-1, 1).view(np.uint8)]) for e in els]
+            ok = trie_matches(centre, els, order, percent)
             got = [b for (b, _), y in zip(held, ok, strict=True) if y]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(got), pa.int64()), pa.array(got, pa.int64())], ["a", "b"])
 
         for batch in batches:
             for a, p, b, e in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if held and ((a, p) != key or len(held) >= 2 * TREE):
+                    yield tree()
                 if b is None:
-                    if held:
-                        yield tree()
                     centre, key = np.frombuffer(e, np.uint64), (a, p)
-                    continue
-                held.append((b, e))
-                if len(held) == chunk:
-                    yield tree()
+                else:
+                    held.append((b, e))
         if held:
             yield tree()
 
@@ -245,24 +247,36 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rare = rarity(docs, n)
     rows = saved(prefixes(docs, rare, n, percent), "prefixes")
     named = rows.where(F.col("size") > 0)
-    classes = saved(named.groupBy("c1", "c2", "size").agg(F.min("doc_id").alias("rep")), "classes")
-    # One prefix row for each class and element; equal sets have equal prefixes.
-    els = named.where(F.size("prefix") > 0).select("c1", "c2", "size", F.explode("prefix").alias("e"), "doc_id").groupBy("e", "c1", "c2", "size").agg(F.min("doc_id").alias("rep"))
-    shared = els.groupBy("e").agg(F.count("*").alias("k"), F.min(F.struct("size", "rep")).alias("least")).where("k > 1")
-    small = saved(els.join(shared.select("e", "least"), "e").select("e", "size", "rep", "least"), "shared")
-
-    def close(x: Column, y: Column) -> Column:
-        return F.greatest(x, y) * percent <= F.least(x, y) * 100
-
-    star = small.where((F.col("rep") != F.col("least.rep")) & close(F.col("size"), F.col("least.size"))).select(F.col("least.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    # Equal sets are one class from here on; its smallest id stands for it.
+    classes = saved(named.groupBy("c1", "c2", "size").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix")), "classes")
+    els = classes.select("size", "rep", F.posexplode("prefix").alias("pos", "e"))
+    # Sets of like size share a band in one of two bandings, half a step apart; each meets the middle set of its bands.
+    place = F.log(F.col("size").cast("double")) / float(np.log(100 / percent))
+    for k, shift in enumerate((0.0, 0.5)):
+        els = els.withColumn(f"band{k}", F.floor(place + shift).cast("int"))
+    met = els.withColumn("k", F.count("*").over(Window.partitionBy("e"))).where("k > 1")
+    met = saved(met, "met")
+    # The set whose prefix meets most others is nearest the middle of its group of near copies.
+    met = met.join(met.groupBy("rep").agg(F.sum("k").alias("w")), "rep")
+    for k in (0, 1):
+        met = met.withColumn(f"most{k}", F.max(F.struct("w", "size", "pos", (-F.col("rep")).alias("neg"))).over(Window.partitionBy("e", f"band{k}")))
+    small = saved(met.select("e", "size", "pos", "rep", "most0", "most1"), "shared")
+
+    def near(x: str, y: str) -> Column:
+        """Whether an element can be the first one shared by two sets that need it: at most |S| - needed elements come before it in each."""
+        need = F.ceil((F.col(f"{x}size") + F.col(f"{y}size")) * percent / (100 + percent))
+        return (F.col(f"{x}pos") <= F.col(f"{x}size") - need) & (F.col(f"{y}pos") <= F.col(f"{y}size") - need)
+
+    centre = small.select("size", "pos", "rep", F.explode(F.array("most0", "most1")).alias("c"))
+    star = centre.where((F.col("rep") != -F.col("c.neg")) & (F.greatest("size", "c.size") * percent <= F.least("size", "c.size") * 100)).select((-F.col("c.neg")).alias("a"), F.col("rep").alias("b")).distinct()
     links = verified(star, docs, rare, n, percent)
     comp = saved(connected(links), "stars")
     # Elements whose sets are all in one component need no more comparisons.
-    with_c = small.select("e", "size", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("e", "size", "rep", F.coalesce("component", "rep").alias("c"))
+    with_c = small.select("e", "size", "pos", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("e", "size", "pos", "rep", F.coalesce("component", "rep").alias("c"))
     open_e = with_c.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("e")
     left = saved(with_c.join(open_e, "e"), "open")
     x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep")) & close(F.col("x.size"), F.col("y.size")))
+    pairs = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep")) & near("x.", "y."))
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = verified(pairs, docs, rare, n, percent)
     comp = saved(connected(links.union(more)), "components")
