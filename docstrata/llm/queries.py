@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ivf_pq, language_model, line_dedup, ngram_join, pii, quality, secrets, topk
+from . import ivf_pq, language_model, line_dedup, mixing, ngram_join, pii, quality, secrets, topk
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,12 @@ s AS (SELECT l.doc_id, count(g.pos) AS n_removed, string_agg(CASE WHEN g.pos IS
 SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(CASE WHEN n_removed > 0 THEN t ELSE d.text END, '')) AS text_sha256
 FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id
 """
+
+
+SHARES = {"clean": 0.98, "junk": 0.01, "toxic": 0.01}
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(read(spark, sf_dir, "documents"), mixing.domain_of(read(spark, sf_dir, "labels")), SHARES, anchor="clean")
+    return out.select("doc_id", "tokens", *(F.element_at("p", k + 1).alias(f"p_{d}") for k, d in enumerate(SHARES)), "rate", "copies")
