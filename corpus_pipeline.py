@@ -1,25 +1,56 @@
-"""Corpus pipeline: quality, line dedup, near duplicates, mixing, tokens."""
+"""Corpus pipeline over the documents table.
+
+quality: documents that the byte classifier rejects go. lines: repeated and
+near-repeated lines go, and with them documents of which nothing is left.
+near_duplicates: one document stays of each group of texts linked by word
+5-gram Jaccard similarity of 0.8 or more. mixing: documents are kept, dropped
+or repeated so that domain token totals meet the target shares, with clean
+text as found. tokens: the texts as SentencePiece ids.
+
+Every stage but the last returns the columns it got. Rows with null ids pass
+all stages but are judged by the first alone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docstrata.llm import quality
-from docstrata.llm.shared import read
+from docstrata.llm import line_dedup, mixing, ngram_join, pieces, quality
+from docstrata.llm.queries import SHARES
+from docstrata.llm.shared import read, saved
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; scores come from the text alone."""
-    net = quality.fit(docs, read(spark, sf_dir, "labels"))
-    return quality.kept(docs, net)
+    return quality.kept(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated(docs)
+    out = out.where(F.col("_gone").isNull() | (F.trim("text") != "")).drop("_gone")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs, n=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.resampled(docs, mixing.domain_of(read(spark, sf_dir, "labels")), SHARES, anchor="clean")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encoded(docs, pieces.Vocabulary.load(), check=False).select("doc_id", "n_tokens", "ids")
 
 
-STAGES = [("quality", keep_quality)]
+STAGES = [("quality", keep_quality), ("lines", drop_lines), ("near_duplicates", drop_near_duplicates), ("mixing", mix), ("tokens", tokens)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, saved
+from .shared import dropped, few, saved
 
 
 def words(text: Column) -> Column:
@@ -126,3 +126,11 @@ def mixed(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], anchor
     post = saved(posteriors(docs, *classifier(docs, labelled, domains, **bounds)), "posteriors")
     out = rates(post, None, list(shares.values()), domains.index(anchor) if anchor else None)
     return out.withColumn("copies", copies(F.col("rate"), "doc_id", slack))
+
+
+def resampled(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], anchor: str | None = None, **bounds: int) -> DataFrame:
+    """``docs``, all columns, each row as often as its copies say; rows with a null id stay once."""
+    rated = mixed(docs, labelled, shares, anchor, **bounds)
+    other = saved(rated.where((F.col("copies") != 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("copies").alias("_copies")), "copies")
+    joined = docs.join(few(other), "doc_id", "left")
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1))))).select(*docs.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import saved
+from .shared import few, saved
 
 SLICE = 1 << 20  # bytes of text that one numpy pass works on (a longer text is one pass)
 BUCKETS = 1 << 18  # cells of the rarity table; its size never grows
@@ -192,7 +192,6 @@ def trie_matches(centre: np.ndarray, sets: list[np.ndarray], order: list[np.ndar
     return ok
 
 
-FEW = 250_000  # documents whose part in a comparison is broadcast to the scan of the texts; more are joined by shuffle
 TREE = 256  # partners of a centre that share one tree
 
 
@@ -203,8 +202,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, n: int, percen
     centre = trees.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("part"), "a", F.lit(None).cast("long").alias("b"))
     partner = pairs.select(F.col("b").alias("doc_id"), "part", "a", "b")
     roles = saved(centre.unionByName(partner).groupBy("doc_id").agg(F.collect_list(F.struct("a", "part", "b")).alias("roles")), "roles")
-    few = roles.count() <= FEW
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(roles) if few else roles, "doc_id")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(roles), "doc_id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,3 +282,15 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # A component's smallest id is that of its smallest class.
     out = rows.select("doc_id", "size", "c1", "c2").join(named_c.withColumnRenamed("_s", "size"), ["c1", "c2", "size"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with the document of smallest id of each group of linked texts; rows with a null id stay."""
+    found = saved(join(docs, n, percent), "groups")
+    again = found.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    gone = saved(found.where("doc_id <> component_id").select("doc_id"), "copies")
+    kept = docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
+    if not again:
+        return kept
+    nulls = kept.where(F.col("doc_id").isNull())
+    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(nulls)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ivf_pq, language_model, line_dedup, mixing, ngram_join, pii, quality, secrets, topk
+from . import ivf_pq, language_model, line_dedup, mixing, ngram_join, pieces, pii, quality, secrets, topk
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ SHARES = {"clean": 0.98, "junk": 0.01, "toxic": 0.01}
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(read(spark, sf_dir, "documents"), mixing.domain_of(read(spark, sf_dir, "labels")), SHARES, anchor="clean")
     return out.select("doc_id", "tokens", *(F.element_at("p", k + 1).alias(f"p_{d}") for k, d in enumerate(SHARES)), "rate", "copies")
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(read(spark, sf_dir, "documents"), pieces.Vocabulary.load())

@@ -79,3 +79,11 @@ def held_out(col: str, mod: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+FEW = 250_000  # rows of a narrow table (ids and flags) that may be broadcast
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has at most FEW rows; a larger one is joined by shuffle."""
+    return F.broadcast(table) if table.count() <= FEW else table
