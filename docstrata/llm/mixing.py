@@ -31,7 +31,7 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s.,]+"), lambda w: w != "")
 
 
-def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: int = 6000, vocabulary: int = 300, least: int = 4) -> tuple[list[float], dict[str, list[float]]]:
+def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: int = 6000, vocabulary: int = 300, least: int = 4, clear: float = 5.0) -> tuple[list[float], dict[str, list[float]]]:
     """Log priors and the log weights of informative words, from at most ``max_rows`` labelled documents (doc_id, domain) of smallest id hash."""
     pick = labelled.where(F.col("domain").isin(domains)).select("doc_id", "domain").withColumn("_o", F.xxhash64("doc_id")).orderBy("_o", "doc_id").limit(max_rows)
     seen = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("domain", F.array_distinct(words(F.col("text"))).alias("w"))
@@ -42,15 +42,15 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], max_row
     if not total:
         return prior, {}
     count = seen.select("domain", F.explode("w").alias("w")).groupBy("w").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(f"n{k}") for k, d in enumerate(domains)), F.count("*").alias("n")).where(F.col("n") >= least)
-    rate = [(F.col(f"n{k}") + 0.5) / (size.get(d, 0) + 1) for k, d in enumerate(domains)]
-    alone = [F.greatest(F.log(r / ((F.col("n") + 0.5) / (total + 1))), F.lit(0.0)) * F.col(f"n{k}") / max(size.get(d, 0), 1) ** 0.5 for k, (r, d) in enumerate(zip(rate, domains, strict=True))]
-    best = count.withColumn("gain", F.greatest(*alone)).orderBy(F.desc("gain"), "w").limit(vocabulary).collect()
+    # A word informs if a domain's documents hold it far more often than all documents do: standard deviations above what is expected.
+    expected = [F.col("n") * (max(size.get(d, 0), 1) / total) for d in domains]
+    above = [(F.col(f"n{k}") - x) / F.sqrt(x + 1) for k, x in enumerate(expected)]
+    best = count.withColumn("gain", F.greatest(*above)).where(F.col("gain") >= clear).orderBy(F.desc("gain"), "w").limit(vocabulary).collect()
     dropped(seen)
     weight = {}
     for r in best:
-        p = [(r[f"n{k}"] + 0.5) / (size.get(d, 0) + 1) for k, d in enumerate(domains)]
-        mean = math.log((r["n"] + 0.5) / (total + 1))
-        weight[r["w"]] = [math.log(x) - mean for x in p]
+        mean = (r["n"] + 0.5) / (total + 1)
+        weight[r["w"]] = [math.log((r[f"n{k}"] + 10 * mean) / (size.get(d, 0) + 10) / mean) for k, d in enumerate(domains)]
     return prior, weight
 
 
