@@ -1,10 +1,6 @@
-"""Every registered query and the SQL that gives the same rows."""
+"""Every registered query of the package and its SQL."""
 
-from __future__ import annotations
+from .plans import cells, evaluation, events, library, retrieval, text  # noqa: F401  each registers its queries
+from .registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
