@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ngram_join import INVERSE, mixed, powers, word_hashes
-from .shared import saved
+from .ngram_join import INVERSE, mixed, powers, slices, word_hashes, words_at
+from .shared import few, saved
 
 SPACE = r"[\x09-\x0D\x20]+"
 
@@ -44,21 +44,47 @@ def normal(line: Column) -> Column:
     return F.when(odd, F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
 
 
-def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, pos, norm, n of every line that is long enough."""
-    exploded = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    norm = exploded.select("doc_id", "pos", normal(F.col("line")).alias("norm"))
-    return norm.withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_words)
-
-
-def halves(norm: Column, n: Column) -> Column:
-    """Keys of the first and last half for a shorter length of n and of n - 1."""
-    out = []
-    for short in (n, n - 1):
-        short, h = short.cast("int"), F.floor(short / 2).cast("int")
-        out.append(F.xxhash64(short, F.lit("head"), F.call_function("substring_index", norm, F.lit(" "), h)))
-        out.append(F.xxhash64(short, F.lit("tail"), F.call_function("substring_index", norm, F.lit(" "), h - short)))
-    return F.array(*out)
+LINE = "pos int, n int, c1 long, c2 long, halves array<long>"
+
+
+def lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
+    """doc_id, position, number of words, 128-bit digest and half keys of every line that is long enough.
+
+    Half keys are hashes of the first and last half for a shorter length of n
+    and of n - 1, so two lines within one edit have one in common.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, texts in slices(b, 1):
+                data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+                h, start = words_at(data)
+                breaks = np.flatnonzero(data == 10)
+                line = np.searchsorted(breaks, start)
+                n = np.bincount(line, minlength=len(breaks))
+                doc_of_line = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), breaks, side="right")
+                pos = np.arange(len(breaks)) - np.searchsorted(doc_of_line, doc_of_line)
+                keep = np.flatnonzero(n >= min_words)
+                z = np.cumsum(n)[keep]
+                n = n[keep]
+                a = z - n
+                up, down = powers("up", len(h)), powers("down", len(h) + 1)
+                sums = [np.r_[np.uint64(0), np.cumsum(x * up)] for x in (h, mixed(h ^ np.uint64(0x5BF03635)))]
+                run_hash = lambda s, x, y: (s[y] - s[x]) * down[x]  # noqa: E731  of the words from x to y, wherever they stand
+                c = [mixed(run_hash(s, a, z) + n.astype(np.uint64)) for s in sums]
+                halves = []
+                for short in (n, n - 1):
+                    half, tag = short // 2, short.astype(np.uint64) << np.uint64(1)
+                    halves.append(mixed(run_hash(sums[0], a, a + half) ^ mixed(tag)))
+                    halves.append(mixed(run_hash(sums[0], z - (short - half), z) ^ mixed(tag + np.uint64(1))))
+                near = n >= near_words
+                flat = np.stack(halves, axis=1)[near].reshape(-1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(near * 4)].astype(np.int32)), pa.array(flat))
+                cols = [part.column(0).take(pa.array(doc_of_line[keep])), pa.array(pos[keep].astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in c), lists]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pos", "n", "c1", "c2", "halves"])
+
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {LINE}")
 
 
 def one_deleted(h: np.ndarray) -> np.ndarray:
@@ -79,7 +105,7 @@ def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part in (b.slice(k, 256) for k in range(0, b.num_rows, 256)):
             texts = [t or b"" for t in part.column(0).cast(pa.binary()).to_pylist()]
-            h, count = word_hashes(texts)
+            h, count = word_hashes(texts, fold=False)
             first = np.cumsum(count) - count
             keys, role, row = [], [], []
             for i, (f, n) in enumerate(zip(first, count, strict=True)):
@@ -115,34 +141,35 @@ def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed(docs: DataFrame, min_words: int = 5, near_words: int = 8) -> DataFrame:
     """doc_id and the sorted positions (from 0) of the lines that go, for documents that lose any."""
-    every = lines(docs, min_words)
-    c1, c2 = F.xxhash64("norm"), F.xxhash64(F.lit(1), "norm")
-    keyed = every.select(c1.alias("c1"), c2.alias("c2"), "n", F.struct("doc_id", "pos").alias("at"), F.when(F.col("n") >= near_words, halves(F.col("norm"), F.col("n"))).alias("halves"))
-    classes = saved(keyed.groupBy("c1", "c2", "n").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max("halves").alias("halves")), "lines")
+    every = saved(lines(docs, min_words, near_words), "lines")
+    # Equal lines are one class, with the places of its first and last line; a line's first place in its document is enough.
+    keyed = every.select("c1", "c2", F.struct("doc_id", "pos").alias("at"), "halves")
+    classes = saved(keyed.groupBy("c1", "c2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max("halves").alias("halves")), "classes")
 
     same = Window.partitionBy("half")
-    dealt = classes.where("halves is not null").select("c1", "c2", "first", F.explode(F.array_distinct("halves")).alias("half"))
+    dealt = classes.where(F.size("halves") > 0).select("c1", "c2", "first", F.explode(F.array_distinct("halves")).alias("half"))
     several = dealt.withColumn("lo", F.min("c1").over(same)).withColumn("hi", F.max("c1").over(same)).where("lo <> hi")
     alike = several.select("c1", "c2", "first").distinct()
     # The words of these lines are read again where each first stands.
-    wanted = alike.select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.pos").alias("pos"), "c1", "c2").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("w"))
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.split("text", "\n").alias("parts")).join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    wanted = saved(alike.select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.pos").alias("pos"), "c1", "c2").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("w")), "wanted")
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.split("text", "\n").alias("parts")).join(few(wanted), "doc_id")
     spread = texts.select("doc_id", "parts", F.explode("w").alias("w")).select(normal(F.get("parts", F.col("w.pos"))).alias("norm"), "w.c1", "w.c2", "doc_id", "w.pos")
     near = saved(spread, "near-lines")
 
     keys = near.mapInArrow(variants, f"key long, role int, c1 long, c2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int")
-    me = F.struct("doc_id", "pos", "c1", "c2")
-    group = keys.groupBy("key", F.when(F.col("role") == 0, 0).otherwise(1).alias("kind")).agg(F.min(F.when(F.col("role") != 1, me)).alias("single"), F.min(F.when(F.col("role") == 1, me)).alias("grown"), F.count("*").alias("k")).where("k > 1")
     # kind 0: all are within one edit of the earliest. kind 1: the one whole line is within one edit of each grown line.
-    met = keys.join(group, (keys["key"] == group["key"]) & (F.when(keys["role"] == 0, 0).otherwise(1) == group["kind"]))
-    met = met.select(keys["c1"], keys["c2"], keys["doc_id"], keys["pos"], F.when(F.col("role") == 2, F.col("grown")).otherwise(F.col("single")).alias("other"))
+    me = F.struct("doc_id", "pos", "c1", "c2")
+    group = Window.partitionBy("key", "kind")
+    met = keys.withColumn("kind", F.least("role", F.lit(1)))
+    met = met.withColumn("single", F.min(F.when(F.col("role") != 1, me)).over(group)).withColumn("grown", F.min(F.when(F.col("role") == 1, me)).over(group))
+    met = met.withColumn("other", F.when(F.col("role") == 2, F.col("grown")).otherwise(F.col("single")))
     earlier = met.where(F.col("other").isNotNull() & (F.struct("other.doc_id", "other.pos") < F.struct("doc_id", "pos"))).groupBy("c1", "c2").agg(F.min("other").alias("other"))
     a, b = near.select("c1", "c2", "norm"), near.select(F.col("c1").alias("o1"), F.col("c2").alias("o2"), F.col("norm").alias("other_norm"))
     pairs = earlier.select("c1", "c2", F.col("other.c1").alias("o1"), F.col("other.c2").alias("o2")).join(a, ["c1", "c2"]).join(b, ["o1", "o2"])
     close = pairs.select("c1", "c2", "norm", "other_norm").mapInArrow(checked, "c1 long, c2 long").withColumn("near", F.lit(True))
 
     going = classes.join(close, ["c1", "c2"], "left").where(F.col("near") | (F.col("first") < F.col("last"))).select("c1", "c2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    at = every.select(c1.alias("c1"), c2.alias("c2"), "doc_id", "pos").join(going, ["c1", "c2"])
+    at = every.select("c1", "c2", "doc_id", "pos").join(going, ["c1", "c2"])
     gone = at.where(F.col("near") | (F.col("first") < F.struct("doc_id", "pos")))
     return saved(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
 

@@ -59,16 +59,23 @@ def powers(kind: str, n: int) -> np.ndarray:
     return p[:n]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased, split at ASCII white space) and the number of words of each text."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    data = np.where((data >= LOW) & (data <= HIGH), data + np.uint8(32), data)
+def words_at(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a text that ends in white space, and where they start; words are split at ASCII white space."""
     gap = IS_SPACE[data]
     start = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
     end = np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers("up", len(data)), out=total[1:])
     h = mixed((total[end] - total[start]) * powers("down", len(data))[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return h, start
+
+
+def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (A-Z lower-cased with ``fold``) and the number of words of each text."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    if fold:
+        data = np.where((data >= LOW) & (data <= HIGH), data + np.uint8(32), data)
+    h, start = words_at(data)
     ends = np.cumsum([len(t) + 1 for t in texts])
     return h, np.diff(np.searchsorted(start, np.r_[0, ends]))
 
