@@ -1,0 +1,67 @@
+"""Exact-decimal arithmetic over order lines read as spreadsheet cells, with unit refusals."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..model import table
+from ..registry import query
+
+MONEY = "decimal(20,6)"
+
+
+def money(c: str) -> Column:
+    return F.col(c).cast("decimal(20,2)").cast(MONEY)
+
+
+M = "CAST(CAST({0} AS DECIMAL(20,2)) AS DECIMAL(20,6))"
+
+
+@query(f"""SELECT l_returnflag AS sheet, l_linenumber AS row_no, CAST(sum({M.format("l_extendedprice")}) AS DOUBLE) AS total, round(CAST(sum({M.format("l_extendedprice")}) AS DOUBLE) / count(l_extendedprice), 4) AS mean,
+CAST(min({M.format("l_extendedprice")}) AS DOUBLE) AS low, CAST(max({M.format("l_extendedprice")}) AS DOUBLE) AS high, count(l_extendedprice) AS n FROM lineitem GROUP BY ALL""")
+def cells_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sum, average, min, max and count of numeric cells; blanks are skipped, never zero."""
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sheet"), F.col("l_linenumber").alias("row_no"), money("l_extendedprice").alias("v"))
+    g = x.groupBy("sheet", "row_no").agg(F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
+    d = lambda c: F.col(c).cast("double")
+    return g.select("sheet", "row_no", d("s").alias("total"), F.round(d("s") / F.col("n"), 4).alias("mean"), d("lo").alias("low"), d("hi").alias("high"), "n")
+
+
+@query(f"""WITH m AS (SELECT date_trunc('month', o_orderdate) AS month, sum({M.format("o_totalprice")}) AS v FROM orders GROUP BY 1),
+p AS (SELECT month, v, lag(v) OVER (ORDER BY month) AS b FROM m)
+SELECT strftime(month, '%Y-%m') AS month, CAST(v - b AS DOUBLE) AS difference, round(CAST(v AS DOUBLE) / nullif(CAST(b AS DOUBLE), 0), 6) AS ratio, round((CAST(v AS DOUBLE) - CAST(b AS DOUBLE)) / nullif(CAST(b AS DOUBLE), 0) * 100, 6) AS pct_change FROM p""")
+def period_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference, ratio and percentage change against the month before; a zero base gives none. Months are few after aggregation, so one window task orders them."""
+    from pyspark.sql import Window
+
+    m = table(spark, sf_dir, "orders").select(F.date_trunc("month", "o_orderdate").alias("month"), money("o_totalprice").alias("v")).groupBy("month").agg(F.sum("v").alias("v"))
+    p = m.withColumn("b", F.lag("v").over(Window.orderBy("month")))
+    v, b = F.col("v").cast("double"), F.nullif(F.col("b").cast("double"), F.lit(0.0))
+    return p.select(F.date_format("month", "yyyy-MM").alias("month"), (F.col("v") - F.col("b")).cast("double").alias("difference"), F.round(v / b, 6).alias("ratio"), F.round((v - b) / b * 100, 6).alias("pct_change"))
+
+
+@query(f"""WITH g AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS units, min(l_returnflag) AS unit, sum({M.format("l_quantity")}) AS v FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN units > 1 THEN 'mixed units' END AS refusal, CASE WHEN units = 1 THEN unit END AS unit, CASE WHEN units = 1 THEN CAST(v AS DOUBLE) END AS total FROM g""")
+def unit_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of orders whose lines share one unit (here the return flag); mixed units are refused."""
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("lo"), F.max("l_returnflag").alias("hi"), F.sum(money("l_quantity")).alias("v"))
+    one = F.col("lo") == F.col("hi")
+    return g.select("l_orderkey", F.when(~one, "mixed units").alias("refusal"), F.when(one, F.col("lo")).alias("unit"), F.when(one, F.col("v").cast("double")).alias("total"))
+
+
+@query("""SELECT o_orderkey AS sheet, count(l.l_orderkey) AS cells, count(*) FILTER (l.l_discount = 0) AS zeros, count(l.l_discount) AS numeric_cells, coalesce(max(l.l_linenumber), 0) AS used_rows, (count(l.l_orderkey) > 6) AS clipped
+FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o_orderkey""")
+def range_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a range read covers of each sheet: used rows, numeric cells, zeros apart from blanks, and whether a cap would clip it."""
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("c"), F.count_if(F.col("l_discount") == 0).alias("z"), F.count("l_discount").alias("d"), F.max("l_linenumber").alias("m"))  # noqa: E741
+    o = table(spark, sf_dir, "orders").select("o_orderkey").join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return o.select(F.col("o_orderkey").alias("sheet"), zero("c").alias("cells"), zero("z").alias("zeros"), zero("d").alias("numeric_cells"), zero("m").alias("used_rows"), (zero("c") > 6).alias("clipped"))
+
+
+@query("""SELECT l_orderkey, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship, date_diff('day', min(l_shipdate), max(l_shipdate)) AS span_days, CASE WHEN date_diff('day', min(l_shipdate), max(l_shipdate)) <= 14 THEN 'recent' ELSE 'older' END AS recency FROM lineitem GROUP BY l_orderkey""")
+def recency_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+    days = F.date_diff(F.col("last_ship").cast("date"), F.col("first_ship").cast("date"))
+    return g.select("l_orderkey", "first_ship", "last_ship", days.alias("span_days"), F.when(days <= 14, "recent").otherwise("older").alias("recency"))

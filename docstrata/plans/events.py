@@ -1,0 +1,103 @@
+"""Incremental maintenance over the event table: debounce, sessions, windows, queue order and rates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..model import table
+from ..registry import query
+from ..streaming.counts import streamed_counts
+
+QUIET, CAP = 3600, 21600
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, epoch(ts) AS t, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events),
+s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > {QUIET} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS burst FROM e)
+SELECT user_id, burst, count(*) AS n, CAST(floor(min(t)) AS BIGINT) AS first_s, CAST(floor(max(t)) AS BIGINT) AS last_s FROM s GROUP BY ALL""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of each user, ended by an hour of quiet."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    gap = F.col("t") - F.lag("t").over(w)
+    s = e.withColumn("new", F.when(gap.isNull() | (gap > QUIET), 1).otherwise(0)).withColumn("burst", F.sum("new").over(w))
+    return s.groupBy("user_id", "burst").agg(F.count("*").alias("n"), F.floor(F.min("t")).alias("first_s"), F.floor(F.max("t")).alias("last_s"))
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, event_type, epoch(ts) AS t, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events),
+s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > {QUIET} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS burst FROM e),
+a AS (SELECT *, CAST(floor((t - min(t) OVER (PARTITION BY user_id, burst)) / {CAP}) AS BIGINT) AS age FROM s)
+SELECT user_id, burst, age, count(DISTINCT event_type) AS kinds, count(*) AS n, bool_or(event_type = 'error') AS rescan FROM a GROUP BY ALL""")
+def event_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that end after quiet time or at a maximum age, repeated kinds once, with a rescan flag."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    gap = F.col("t") - F.lag("t").over(w)
+    s = e.withColumn("new", F.when(gap.isNull() | (gap > QUIET), 1).otherwise(0)).withColumn("burst", F.sum("new").over(w))
+    s = s.withColumn("age", F.floor((F.col("t") - F.min("t").over(Window.partitionBy("user_id", "burst"))) / CAP))
+    return s.groupBy("user_id", "burst", "age").agg(F.countDistinct("event_type").alias("kinds"), F.count("*").alias("n"), F.bool_or(F.col("event_type") == "error").alias("rescan"))
+
+
+@query("""SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def event_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.date_trunc("day", "ts").cast(e.schema["ts"].dataType).alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+STATE = "CASE event_type WHEN 'error' THEN 'dead' WHEN 'signup' THEN 'running' WHEN 'purchase' THEN 'done' ELSE 'queued' END"
+
+
+def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as queue rows: tier and attempts from the payload, state from the kind."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    state = F.when(F.col("event_type") == "error", "dead").when(F.col("event_type") == "signup", "running").when(F.col("event_type") == "purchase", "done").otherwise("queued")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", (k % 2 + 1).alias("tier"), (k % 8).alias("attempts"), state.alias("state"))
+
+
+QUEUE = f"q AS (SELECT event_id, user_id, ts, value, k % 2 + 1 AS tier, k % 8 AS attempts, {STATE} AS state FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"
+
+
+@query(f"""WITH {QUEUE} SELECT tier, count(*) FILTER (state = 'queued') AS queued, count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'dead') AS dead FROM q GROUP BY tier""")
+def queue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue(spark, sf_dir).groupBy("tier").agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("queued", "running", "done", "dead")))
+
+
+@query(f"""WITH {QUEUE} SELECT user_id, event_id, tier, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tier, ts DESC, value, event_id) AS r FROM q WHERE state = 'queued') WHERE r <= 3""")
+def queue_claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each worker's queue would hand out next: tier, newest, smallest, id."""
+    w = Window.partitionBy("user_id").orderBy("tier", F.desc("ts"), "value", "event_id")
+    return queue(spark, sf_dir).where("state = 'queued'").withColumn("place", F.row_number().over(w)).where("place <= 3").select("user_id", "event_id", "tier", "place")
+
+
+@query(f"""WITH {QUEUE} SELECT event_id, attempts, CAST(least(3600, 5 * pow(2, greatest(0, attempts - 1))) AS BIGINT) AS wait_s, (attempts >= 5) AS dead_letter FROM q WHERE state <> 'done'""")
+def queue_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = queue(spark, sf_dir).where("state <> 'done'")
+    wait = F.least(F.lit(3600.0), 5 * F.pow(F.lit(2.0), F.greatest(F.lit(0), F.col("attempts") - 1)))
+    return q.select("event_id", "attempts", wait.cast("long").alias("wait_s"), (F.col("attempts") >= 5).alias("dead_letter"))
+
+
+@query(f"""WITH {QUEUE}, d AS (SELECT user_id, epoch(ts) AS t FROM q WHERE state = 'done' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 200),
+r AS (SELECT user_id, count(*) AS n, max(t) - min(t) AS wall FROM d GROUP BY user_id), l AS (SELECT user_id, count(*) FILTER (state = 'queued') AS left_n FROM q GROUP BY user_id)
+SELECT user_id, left_n, CASE WHEN left_n = 0 THEN 0.0 ELSE round(left_n / nullif(n / nullif(wall, 0), 0), 3) END AS eta_s FROM l LEFT JOIN r USING (user_id)""")
+def throughput_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time left from the rate of at most 200 newest finished items; unknown without a rate, none when nothing is left."""
+    q = queue(spark, sf_dir)
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
+    done = q.where("state = 'done'").withColumn("r", F.row_number().over(w)).where("r <= 200").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    rate = done.groupBy("user_id").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("wall"))
+    left = q.groupBy("user_id").agg(F.count_if(F.col("state") == "queued").alias("left_n"))
+    eta = F.when(F.col("left_n") == 0, 0.0).otherwise(F.round(F.col("left_n") / F.nullif(F.col("n") / F.nullif(F.col("wall"), F.lit(0.0)), F.lit(0.0)), 3))
+    return left.join(rate, "user_id", "left").select("user_id", "left_n", eta.alias("eta_s"))
+
+
+@query("""SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS r FROM events) WHERE r = 1""")
+def event_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First event of each user, kind and day."""
+    first = table(spark, sf_dir, "events").groupBy("user_id", "event_type", F.date_trunc("day", "ts").alias("d")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return first.select("event_id", "user_id", "event_type")
+
+
+@query("""SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts kept by a stream over the event files."""
+    return streamed_counts(spark, f"{sf_dir}/events.parquet")
