@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,12 +152,13 @@ SPANS = "array<struct<kind:int,start:int,end:int>>"
 def spans_of(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.int32())]))
         for b in batches:
-            found = [[{"kind": k, "start": a, "end": e, "base": s, "votes": v} for k, a, e, s, v in candidates(t or "")] for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype(object).where(b["doc_id"].notna(), None), "spans": found})
+            found = [[dict(zip(("kind", "start", "end", "base", "votes"), s, strict=True)) for s in candidates(t or "")] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, shape)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, spans array<struct<kind:int,start:int,end:int,base:boolean,votes:int>>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:int,start:int,end:int,base:boolean,votes:int>>")
 
 
 def ballots(n: int) -> np.ndarray:
