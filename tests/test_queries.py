@@ -1,0 +1,106 @@
+"""Every registered query against its SQL, and the column functions on literals."""
+
+import decimal
+import math
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from docstrata import catalog
+from docstrata.functions.text import column_letters, column_number, core_name, normal_name, redact
+from docstrata.model import windows
+from docstrata.sources.html import blocks_of
+from docstrata.streaming.counts import bursts
+
+DATA = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def plain(v):
+    if isinstance(v, decimal.Decimal):
+        v = float(v)
+    if isinstance(v, float):
+        return None if math.isnan(v) else round(v, 6)
+    if isinstance(v, list | tuple):
+        return tuple(map(plain, v))
+    return v.replace(tzinfo=None) if getattr(v, "tzinfo", None) else v
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"CREATE VIEW {t} AS FROM '{DATA}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_query(spark, duck, name):
+    df = catalog.QUERIES[name](spark, DATA)
+    cols = sorted(df.columns)
+    got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
+    if name not in catalog.ORACLE:
+        assert got
+        return
+    rel = duck.sql(catalog.ORACLE[name])
+    assert sorted(rel.columns) == cols
+    at = [rel.columns.index(c) for c in cols]
+    assert got == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
+
+
+def one(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+@pytest.mark.parametrize(("text", "want"), [("The Acme & Sons, Inc.", "acme and sons"), ("O'Hara GmbH", "ohara"), ("L.L.C", "l l c"), ("", "")])
+def test_core_name(spark, text, want):
+    assert one(spark, core_name(F.lit(text))) == want
+    assert one(spark, normal_name(F.lit(text))).startswith(want)
+
+
+def test_redaction_keeps_order(spark):
+    out = one(spark, redact(F.lit("mail a.b@c.org pass token=abc123 at https://u:p@h.x/ and 123456789012")))
+    assert out == "mail [email] pass token=[secret] at https://[credentials]@h.x/ and [number]"
+
+
+@pytest.mark.parametrize(("n", "letters"), [(1, "A"), (26, "Z"), (27, "AA"), (52, "AZ"), (53, "BA"), (702, "ZZ"), (703, "AAA")])
+def test_column_letters(spark, n, letters):
+    assert one(spark, column_letters(F.lit(n))) == letters
+    assert one(spark, column_number(F.lit(letters))) == n
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 6, 9, 10, 23])
+def test_windows_cover_every_word_once_the_stride_allows(spark, n):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)))], "doc_id long, text string")
+    got = [r["words"] for r in windows(docs, 5, 2).orderBy("ordinal").collect()]
+    want, at = [], 0
+    while n and (not want or len(want[-1]) == 5 and at - 3 + 5 < n):
+        want.append([f"w{i}" for i in range(at, min(at + 5, n))])
+        at += 3
+    assert got == want
+
+
+def test_visible_text():
+    html = "<html><head><title>t</title></head><body><h1>A</h1><p>one <b>two</b></p><script>x</script><div style='display: none'>no<p>no</p></div><h2>B</h2><p>three</p></body></html>"
+    assert blocks_of(html) == [("A", "A"), ("A", "one two"), ("A > B", "B"), ("A > B", "three")]
+    assert blocks_of(None) == []
+
+
+def test_stream_sessions(spark, tmp_path):
+    e = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, x) AS ts, 1L AS user_id FROM VALUES (0), (3), (20), (22), (500) AS t(x)")
+    e.write.parquet(f"{tmp_path}/in")
+    q = bursts(spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in"), "5 seconds").writeStream.format("memory").queryName("bursts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["n"] for r in spark.table("bursts").collect()) == [1, 2, 2]
+
+
+def test_no_llm_import_outside():
+    root = os.path.dirname(catalog.__file__)
+    for d, _, names in os.walk(root):
+        if "llm" in d.split(os.sep):
+            continue
+        for n in names:
+            if n.endswith(".py"):
+                assert "llm" not in open(os.path.join(d, n)).read().replace("literal", "")
