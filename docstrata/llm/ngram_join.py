@@ -199,6 +199,22 @@ def trie_matches(centre: np.ndarray, sets: list[np.ndarray], order: list[np.ndar
     return ok
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough for their sets to reach the similarity.
+
+    A set that needs k of its s elements in the other may miss s - k; the
+    prefix that ends first in the global order holds all shared elements up to
+    there, so the prefixes share at least its length less those misses.
+    """
+    pairs = saved(pairs, "pairs")
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
+    own = classes.select("rep", "size", "prefix").join(few(ids), "rep", "left_semi")
+    one, two = (own.select(F.col("rep").alias(x), F.col("size").alias(f"{x}_size"), F.col("prefix").alias(f"{x}_prefix")) for x in "ab")
+    need = F.ceil((F.col("a_size") + F.col("b_size")) * percent / (100 + percent))
+    least = F.least(*(F.size(f"{x}_prefix") - (F.col(f"{x}_size") - need) for x in "ab"))
+    return pairs.join(one, "a").join(two, "b").where(F.size(F.array_intersect("a_prefix", "b_prefix")) >= least).select("a", "b")
+
+
 TREE = 256  # partners of a centre that share one tree
 
 
@@ -273,8 +289,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         return (F.col(f"{x}pos") <= F.col(f"{x}size") - need) & (F.col(f"{y}pos") <= F.col(f"{y}size") - need)
 
     centre = small.select("size", "pos", "rep", F.explode(F.array("most0", "most1")).alias("c"))
-    star = centre.where((F.col("rep") != -F.col("c.neg")) & (F.greatest("size", "c.size") * percent <= F.least("size", "c.size") * 100)).select((-F.col("c.neg")).alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(star, docs, rare, n, percent)
+    star = centre.where((F.col("rep") != -F.col("c.neg")) & near("", "c.")).select((-F.col("c.neg")).alias("a"), F.col("rep").alias("b")).distinct()
+    links = verified(plausible(star, classes, percent), docs, rare, n, percent)
     comp = saved(connected(links), "stars")
     # Elements whose sets are all in one component need no more comparisons.
     with_c = small.select("e", "size", "pos", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("e", "size", "pos", "rep", F.coalesce("component", "rep").alias("c"))
@@ -283,7 +299,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     x, y = left.alias("x"), left.alias("y")
     pairs = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep")) & near("x.", "y."))
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = verified(pairs, docs, rare, n, percent)
+    more = verified(plausible(pairs, classes, percent), docs, rare, n, percent)
     comp = saved(connected(links.union(more)), "components")
     named_c = classes.join(comp, F.col("rep") == F.col("id"), "left").select("c1", "c2", F.col("size").alias("_s"), F.coalesce("component", "rep").alias("component"))
     # A component's smallest id is that of its smallest class.
