@@ -20,6 +20,8 @@ to a space; repeated rows are encoded each; an empty table stays empty.
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +35,7 @@ SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 UNIT = 4 << 20  # characters of text that are split and encoded together
 INDEXED = 1 << 20  # characters of one suffix array (a longer word has its own)
-KEPT = 500_000  # words that a worker remembers
+KEPT = 800_000  # words that a worker remembers
 
 
 @dataclass
@@ -73,6 +75,13 @@ class Vocabulary:
                 return parts
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
+    def stay_apart(self, a: str, b: str) -> bool:
+        """Whether merging the joined text gives the two pieces again; surely so if no piece spans the border."""
+        rank = self.rank()
+        if not any(a[i:] + b[:j] in rank for i in range(len(a)) for j in range(1, len(b) + 1)):
+            return True
+        return self.merged(a + b) == [a, b]
+
     def apart(self, pairs: np.ndarray) -> np.ndarray:
         """Whether two pieces (coded a * len + b; len - 1 stands for an unknown character) stay apart; answers are remembered."""
         known = self.state.setdefault("known", np.zeros(0, np.int64))
@@ -84,7 +93,7 @@ class Vocabulary:
             got = []
             for c in new:
                 a, b = divmod(int(c), n)
-                got.append(a == n - 1 or b == n - 1 or self.merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]])
+                got.append(a == n - 1 or b == n - 1 or self.stay_apart(self.pieces[a], self.pieces[b]))
             if len(known) > 4_000_000:
                 known, value = known[:0], value[:0]
                 known, value = np.unique(pairs), np.zeros(0, bool)
@@ -102,7 +111,7 @@ class Vocabulary:
             own = [self.pieces[i] for i in self.whole]
             chars = np.unique(np.array([ord(c) for p in own for c in p], np.uint32))
             length = np.array([len(p) for p in own])
-            longest = 1 << (int(length.max()) - 1).bit_length()
+            longest = max(4, 1 << (int(length.max()) - 1).bit_length())
             rows = np.zeros((len(own), longest), np.int64)
             for k, p in enumerate(own):
                 rows[k, : len(p)] = np.searchsorted(chars, [ord(c) for c in p]) + 1
@@ -112,13 +121,17 @@ class Vocabulary:
 
 def suffix_array(text: np.ndarray, longest: int) -> np.ndarray:
     """Positions sorted by their next ``longest`` characters (a power of two), by rank doubling. text: numbers from 0."""
-    rank, width = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    padded = np.r_[text.astype(np.int64), np.zeros(4, np.int64)]
+    packed, width = (padded[:-4] << 45) | (padded[1:-3] << 30) | (padded[2:-2] << 15) | padded[3:-1], 4  # character numbers are below 2**15
+    order = np.argsort(packed)
+    there = packed[order]
+    rank = np.empty_like(packed)
+    rank[order] = np.cumsum(np.r_[1, there[1:] != there[:-1]])
     while width < longest:
         later = np.zeros_like(rank)
         later[:-width] = rank[width:]
         pair = (rank << 32) | later
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         there = pair[order]
         rank = np.empty_like(rank)
         rank[order] = np.cumsum(np.r_[1, there[1:] != there[:-1]])
@@ -147,8 +160,8 @@ def occurrences(text: np.ndarray, order: np.ndarray, rows: np.ndarray, length: n
     return lo, hi
 
 
-def encode_words(v: Vocabulary, words: list[str]) -> list[np.ndarray]:
-    """Token ids of each word."""
+def encode_words(v: Vocabulary, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words in an order of their own, their token ids in one array, and the number of each."""
     chars, rows, length, longest = v.alphabet()
     joined = "\0".join(words) + "\0"
     raw = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -197,41 +210,66 @@ def encode_words(v: Vocabulary, words: list[str]) -> list[np.ndarray]:
         word, pos, token = (np.concatenate(x) for x in zip(*path, strict=True))
         by = np.lexsort((pos, word))
         word, pos, token = word[by], pos[by], token[by]
-    out = np.split(token, np.searchsorted(word, np.arange(1, len(words))))
-    ids = {p: i for i, p in enumerate(v.pieces) if v.plain[i]} if broken or len(unknown) else {}
-    for w in np.unique(word[token == unk]).tolist() + sorted(broken):
+    odd = np.zeros(len(words), bool)
+    odd[word[token == unk]] = True
+    odd[list(broken)] = True
+    keep = ~odd[word]
+    count = np.bincount(word[keep], minlength=len(words))[~odd]
+    flat = [token[keep].astype(np.int32)]
+    order, special = [words[i] for i in np.flatnonzero(~odd)], []
+    ids = {p: i for i, p in enumerate(v.pieces) if v.plain[i]} if odd.any() else {}
+    for w in np.flatnonzero(odd):
         parts = v.merged(words[w])
-        out[w] = np.array([i for p in parts for i in ([ids[p]] if p in ids else [v.first_byte + b for b in p.encode("utf-8", "surrogatepass")])], np.int64)
-    return out
+        own = [i for p in parts for i in ([ids[p]] if p in ids else [v.first_byte + b for b in p.encode("utf-8", "surrogatepass")])]
+        flat.append(np.array(own, np.int32))
+        special.append(len(own))
+        order.append(words[w])
+    return order, np.concatenate(flat), np.r_[count, np.array(special, np.int64)]
 
 
 class Encoder:
     """Word table of one worker, and encoding of batches of texts."""
 
     def __init__(self, v: Vocabulary) -> None:
-        self.v, self.at = v, {}
+        self.v = v
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
         self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    @classmethod
+    def of_worker(cls, v: Vocabulary) -> Encoder:
+        """The encoder of this process: tasks that a worker runs one after another share its tables."""
+        shelf = sys.modules.setdefault("docstrata_worker", types.ModuleType("docstrata_worker"))
+        key = (len(v.pieces), v.pieces[-1], float(v.scores.sum()))
+        kept = getattr(shelf, "encoder", None)
+        if kept is None or kept[0] != key:
+            shelf.encoder = kept = (key, cls(v))
+        return kept[1]
+
     def learn(self, words: list[str]) -> None:
-        new, a = [], 0
+        flat, counts, a = [self.flat], [], 0
         while a < len(words):
             b, size = a, 0
             while b < len(words) and (b == a or size + len(words[b]) < INDEXED):
                 size += len(words[b]) + 1
                 b += 1
-            new += encode_words(self.v, words[a:b])
+            order, ids, count = encode_words(self.v, words[a:b])
+            self.at.update(zip(order, range(len(self.at), len(self.at) + len(order)), strict=True))
+            flat.append(ids)
+            counts.append(count)
             a = b
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
-        self.flat = np.r_[self.flat, *new].astype(np.int32)
-        self.first = np.r_[self.first, self.first[-1] + np.cumsum([len(x) for x in new])]
+        self.flat = np.concatenate(flat)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(counts))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All token ids in one array, and the number of tokens of each text."""
         split = [WORD.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
         distinct = set().union(*split)
         if len(self.at) + len(distinct) > KEPT:
-            self.at, self.flat, self.first = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
-        novel = sorted(distinct - self.at.keys())
+            self.forget()
+        novel = list(distinct - self.at.keys())
         if novel:
             self.learn(novel)
         at = np.fromiter((self.at[w] for s in split for w in s), np.int64, sum(map(len, split)))
@@ -263,14 +301,14 @@ def encoded(docs: DataFrame, v: Vocabulary, check: bool = True) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(v)
+        enc = Encoder.of_worker(v)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _units(texts):
                 ids, n = enc.encode(texts[a:b])
                 first = np.r_[0, np.cumsum(n)]
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
-                same = [not check or decode(v, ids[x:y].tolist()) == t.replace(SPACE, " ") for x, y, t in zip(first, first[1:], texts[a:b], strict=False)]
+                same = [not check or decode(enc.v, ids[x:y].tolist()) == t.replace(SPACE, " ") for x, y, t in zip(first, first[1:], texts[a:b], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, pa.array(n), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
