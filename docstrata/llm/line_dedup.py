@@ -176,6 +176,6 @@ def removed(docs: DataFrame, min_words: int = 5, near_words: int = 8) -> DataFra
 
 def deduplicated(docs: DataFrame, min_words: int = 5, near_words: int = 8) -> DataFrame:
     """``docs``, all columns, with the lines that go taken out of the text, and the array column ``_gone`` of their positions."""
-    out = docs.join(removed(docs, min_words, near_words).withColumnRenamed("gone", "_gone"), "doc_id", "left")
+    out = docs.join(few(removed(docs, min_words, near_words)).withColumnRenamed("gone", "_gone"), "doc_id", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, "_gone")
