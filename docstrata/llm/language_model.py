@@ -12,8 +12,8 @@ Where ``spark.checkpoint.dir`` is a mounted folder the arrays are mapped in
 place; in an object store or HDFS, executors fetch the files themselves
 (``SparkContext.addFile``) and map their copy.
 
-Bigrams seen once are not stored (``least`` = 2): their mass goes to the
-back-off weight of their context, so probabilities still add up to one.
+All bigrams are stored. With ``least`` = 2 those seen once are not: their mass goes to the
+back-off weight of their context, and probabilities still add up to one.
 
 Edge cases: a null or empty text is the end token alone; repeated rows count
 and are scored each time; a null id counts as a training row; with no training
@@ -204,7 +204,7 @@ def discounts(n: list[int]) -> tuple[float, float, float, float]:
     return 0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))
 
 
-def count_model(train: DataFrame, least: int = 2) -> Model:
+def count_model(train: DataFrame, least: int = 1) -> Model:
     """Counts all texts of ``train`` (text) and stores the model in the shared folder."""
     spark = train.sparkSession
 
@@ -316,7 +316,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
-def perplexity_scores(spark: SparkSession, docs: DataFrame, fold: int = 5, least: int = 2) -> DataFrame:
+def perplexity_scores(spark: SparkSession, docs: DataFrame, fold: int = 5, least: int = 1) -> DataFrame:
     """Learns from the rows whose crc32(doc_id as text) mod ``fold`` is not 1, scores all, with perplexity a token."""
     model = count_model(docs.where(~held_out("doc_id", fold)).select("text"), least)
     s = score(docs, model).withColumn("held_out", held_out("doc_id", fold)).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
