@@ -2,10 +2,11 @@
 
 Centroids and codebooks are fitted on a bounded sample (``sample`` vectors of
 smallest hash); every vector is indexed. A query probes its nearest lists,
-ranks their codes by asymmetric distance tables, and measures the best
-``rerank`` of each block exactly on the original vectors. The number of lists
-to probe is the smallest that holds the share ``target`` of the true
-neighbours of sample queries within the sample.
+bounds the distances of their codes by asymmetric tables and each vector's
+quantisation error, and measures exactly, on the original vectors, all of a
+block that can be among its k best. So only lists that are not probed cost
+recall. The number of lists to probe is the smallest that holds the share
+``target`` of the true neighbours of sample queries within the sample.
 
 Lists are stored in blocks dealt out by list and salt, and queries are packed
 by list, so a list that holds a third of all vectors, or that every query
@@ -33,6 +34,8 @@ from .topk import best_of, distinct_vectors
 from .topk import usable as finite
 
 RESULT = "query_id long, vec_id long, score double"
+PAIRS = 1 << 14  # pairs of vectors that are measured at a time
+ROUNDING = 1e-6  # more than the rounding of tabled distances, as a share of the lengths they come from
 
 
 def usable(vec: Column) -> Column:
@@ -81,16 +84,28 @@ class Index:
         d = squared(q, self.centroids)
         return np.argpartition(d, self.probes - 1, axis=1)[:, : self.probes]
 
-    def search(self, q: np.ndarray, lst: int, codes: np.ndarray, vecs: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query and vector positions with exact distances, of each query's ``rerank`` best codes in a block."""
+    def search(self, q: np.ndarray, lst: int, codes: np.ndarray, vecs: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query and vector positions with exact distances, of each query's ``keep`` nearest vectors in a block and all as near as the last."""
         rest = q - self.centroids[lst]
-        adc = np.zeros((len(q), len(codes)), np.float32)
+        adc, size = np.zeros((len(q), len(codes))), np.sqrt((rest * rest).sum(axis=1))[:, None]
         for j, (part, book) in enumerate(zip(self.runs(rest), self.codebooks, strict=True)):
-            adc += squared(part, book).astype(np.float32)[:, codes[:, j]]
-        top = min(rerank, len(codes))
-        x = np.argpartition(adc, top - 1, axis=1)[:, :top].reshape(-1)
-        qi = np.repeat(np.arange(len(q)), top)
-        return qi, x, np.sqrt(((q[qi] - vecs[x]) ** 2).sum(axis=1))
+            adc += squared(part, book)[:, codes[:, j]]
+        adc = np.sqrt(adc, out=adc)
+        coded = np.concatenate([book[codes[:, j]] for j, book in enumerate(self.codebooks)], axis=1)
+        own = vecs - self.centroids[lst]
+        # A vector is at most its quantisation error nearer or farther than its code; the last term covers rounding.
+        error = np.sqrt(((own - coded) ** 2).sum(axis=1)) + ROUNDING * (size + np.sqrt((own * own).sum(axis=1)) + np.sqrt((coded * coded).sum(axis=1)))
+        top = min(keep, len(codes)) - 1
+        cut = np.partition(adc + error, top, axis=1)[:, top]
+        qi, x = np.nonzero(adc - error <= cut[:, None])
+        d = np.empty(len(qi))
+        for a in range(0, len(qi), PAIRS):
+            at = slice(a, a + PAIRS)
+            d[at] = np.sqrt(((q[qi[at]] - vecs[x[at]]) ** 2).sum(axis=1))
+        first = np.searchsorted(qi, np.arange(len(q) + 1))
+        far = np.array([np.partition(d[a:b], top)[top] for a, b in zip(first, first[1:], strict=False)])
+        near = d <= far[qi]
+        return qi[near], x[near], d[near]
 
 
 def fit(x: np.ndarray, rows: int, k: int, target: float, subspace: int = 4, seed: int = 3) -> Index:
@@ -110,7 +125,7 @@ def fit(x: np.ndarray, rows: int, k: int, target: float, subspace: int = 4, seed
     return Index(c, books, min(probes, lists))
 
 
-def _search_one(queries: DataFrame, rows: DataFrame, n_queries: int, k: int, sample: int, target: float, rerank: int, block: int, salts: int) -> DataFrame:
+def _search_one(queries: DataFrame, rows: DataFrame, n_queries: int, k: int, sample: int, target: float, block: int, salts: int) -> DataFrame:
     picked = rows.select("z").withColumn("_h", F.xxhash64("z")).orderBy("_h").limit(sample).collect()
     index = fit(np.array([r["z"] for r in picked], np.float64), rows.count(), k, target)
 
@@ -163,7 +178,7 @@ def _search_one(queries: DataFrame, rows: DataFrame, n_queries: int, k: int, sam
             for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 n, qid = r["n"], np.array(r["id"], np.int64)
                 q = np.frombuffer(b"".join(r["vec"]), np.float64).reshape(len(qid), -1)
-                qi, x, d = index.search(q, r["lst"], np.frombuffer(r["codes"], np.uint8).reshape(n, -1), np.frombuffer(r["vecs"], np.float64).reshape(n, -1), rerank)
+                qi, x, d = index.search(q, r["lst"], np.frombuffer(r["codes"], np.uint8).reshape(n, -1), np.frombuffer(r["vecs"], np.float64).reshape(n, -1), k + 1)
                 count = np.array([len(i) for i in r["ids"]])
                 flat, first = np.concatenate([np.array(i, np.int64) for i in r["ids"]]), np.cumsum(count) - count
                 rep = np.repeat(np.arange(len(x)), count[x])
@@ -177,7 +192,7 @@ def _search_one(queries: DataFrame, rows: DataFrame, n_queries: int, k: int, sam
     return both.mapInArrow(look, RESULT)
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int = 10, sample: int = 16_384, target: float = 0.97, rerank: int = 48, block: int = 2048, salts: int = 4) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, k: int = 10, sample: int = 16_384, target: float = 0.97, block: int = 2048, salts: int = 4) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the neighbours found in ``rows`` (id, z) of ``queries`` (id, z), own ids left out."""
     few = saved(distinct_vectors(rows, k + 1), "vectors")
     ask = queries.select("id", "z").distinct()
@@ -185,6 +200,6 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 10, sample: int = 16_38
     found = rows.sparkSession.createDataFrame([], RESULT)
     for r in sizes:
         mine = F.size("z") == r["d"]
-        found = found.union(_search_one(ask.where(mine), few.where(mine), r["count"], k, sample, target, rerank, block, salts))
+        found = found.union(_search_one(ask.where(mine), few.where(mine), r["count"], k, sample, target, block, salts))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from docstrata.llm import language_model
+from docstrata.llm import ivf_pq, language_model
 
 
 def test_language_model_keeps_bigrams_seen_once(spark):
@@ -37,3 +37,33 @@ def test_language_model_keeps_bigrams_seen_once(spark):
     for x in language_model.perplexity_scores(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect():
         t = toks[x["doc_id"]]
         assert x["score"] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([0, *t], t, strict=False)), rel=1e-9)
+
+
+def test_neighbours_in_a_group_of_near_copies(spark):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(27_000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:3000] = x[0] + r.normal(size=(3000, 16)) * 0.001
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, z array<double>")
+    got = collections.defaultdict(set)
+    for f in ivf_pq.search(rows.where("id < 3000 and id % 100 = 0"), rows, 10, sample=512).collect():
+        got[f["query_id"]].add(f["vec_id"])
+    hit = 0
+    for i in range(0, 3000, 100):
+        d = np.linalg.norm(x - x[i], axis=1)
+        d[i] = np.inf
+        hit += len(got[i] & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.97 * 300
+
+
+def test_block_search_is_exact():
+    r = np.random.default_rng(8)
+    index = ivf_pq.fit(r.normal(size=(300, 8)), 300, 5, 0.97)
+    vecs = np.r_[index.centroids[0] + r.normal(size=(400, 8)), 1.0 + r.normal(size=(600, 8)) * 1e-4]
+    rest = vecs - index.centroids[0]
+    codes = np.stack([ivf_pq.squared(p, b).argmin(1).astype(np.uint8) for p, b in zip(index.runs(rest), index.codebooks, strict=True)], axis=1)
+    q = vecs[::25]
+    qi, x, d = index.search(q, 0, codes, vecs, 6)
+    for k in range(len(q)):
+        assert set(np.argsort(np.linalg.norm(vecs - q[k], axis=1))[:6]) <= set(x[qi == k])
+        assert d[qi == k] == pytest.approx(np.linalg.norm(vecs[x[qi == k]] - q[k], axis=1))
