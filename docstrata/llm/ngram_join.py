@@ -87,7 +87,7 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     last = np.cumsum(count)
     k = len(words)
     h = np.zeros(k, np.uint64)
-    for j in range(n):
+    for j in range(min(n, k)):
         h[: k - j] = h[: k - j] * np.uint64(0x100000001B3) + mixed(words[j:] + np.uint64(j + 1))
     whole = np.arange(k) + n <= last[doc]
     short = np.flatnonzero((count > 0) & (count < n))

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from docstrata.llm import ivf_pq, language_model
+from docstrata.llm import ivf_pq, language_model, ngram_join
 
 
 def test_language_model_keeps_bigrams_seen_once(spark):
@@ -67,3 +67,9 @@ def test_block_search_is_exact():
     for k in range(len(q)):
         assert set(np.argsort(np.linalg.norm(vecs - q[k], axis=1))[:6]) <= set(x[qi == k])
         assert d[qi == k] == pytest.approx(np.linalg.norm(vecs[x[qi == k]] - q[k], axis=1))
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 4])
+def test_near_duplicates_of_one_tiny_text(spark, words):
+    docs = spark.createDataFrame([(1, " ".join("abcd"[:words]))], "doc_id long, text string")
+    assert [(r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs, 5, 80).collect()] == [(1, 1)]
