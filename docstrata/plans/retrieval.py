@@ -140,27 +140,59 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", "rank", "doc_id", "source_id", "label", "score", "tokens")
 
 
+def run_of(t: str) -> Column:
+    """Tokens as one string, each between spaces."""
+    return F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+
+
+def lengths(asked: DataFrame) -> list[int]:
+    """The few different lengths ``n`` of the keys of ``asked``."""
+    return sorted(r["n"] for r in asked.select("n").distinct().collect())
+
+
+def grams(units: str, sizes: list[int], between: str) -> Column:
+    """The distinct runs of ``sizes`` units."""
+
+    def of(k: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(units) - k + 1), lambda i: F.array_join(F.slice(units, i, k), between))
+        return F.when(F.size(units) >= k, runs).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *map(of, sizes)))
+
+
+def span_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, doc_id) of the texts that hold a gold span verbatim: candidates by the span's longest inner word, or its first characters where it has none, then an exact test."""
+    gold = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span")).where(F.col("span").isNotNull())
+    inner = F.slice(F.split("span", r"\s+"), 2, F.greatest(F.size(F.split("span", r"\s+")) - 2, F.lit(0)))
+    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = gold.select("item_id", "span", key.alias("key"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cand = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key")).join(small(keyed.where(F.col("key").isNotNull())), "key").select("item_id", "doc_id", "span")
+    short = keyed.where(F.col("key").isNull()).withColumn("c", F.split("span", ""))
+    short = short.withColumn("n", F.when(F.col("span") == "", 0).otherwise(F.least(F.size("c"), F.lit(4))))
+    short = short.select("item_id", "span", "n", F.array_join(F.slice("c", F.lit(1), F.col("n")), "").alias("key"))
+    if sizes := lengths(short):
+        pieces = d.select("doc_id", F.split("text", "").alias("c")).select("doc_id", F.explode(grams("c", sizes, "")).alias("key"))
+        cand = cand.union(pieces.join(small(short), "key").select("item_id", "doc_id", "span"))
+    return d.join(cand, "doc_id").where(F.contains("text", "span")).select("item_id", "doc_id").distinct()
+
+
 @query(f"""WITH b AS (SELECT item_id, {TOKENS_SQL.format("text")} AS t FROM benchmark), d AS (SELECT doc_id, concat(' ', array_to_string({TOKENS_SQL.format("text")}, ' '), ' ') AS t FROM documents)
 SELECT item_id, doc_id FROM b JOIN d ON contains(d.t, concat(' ', array_to_string(b.t[1:5], ' '), ' ')) WHERE len(b.t) >= 5""")
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a question's first five tokens in a row: an equality join on token 5-grams."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= 5).select("item_id", F.array_join(F.slice("t", 1, 5), " ").alias("gram"))
-    d = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= 5)
-    grams = F.transform(F.sequence(F.lit(1), F.size("t") - 4), lambda i: F.array_join(F.slice("t", i, 5), " "))
-    return d.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(small(asked), "gram").select("item_id", "doc_id")
+    """Documents that hold all of a question's tokens in a row: candidates by its first tokens, five at most, then the whole run."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    asked = asked.select("item_id", run_of("t").alias("phrase"), F.least(F.size("t"), F.lit(5)).alias("n"), F.array_join(F.slice("t", 1, 5), " ").alias("gram"))
+    d = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    cand = d.select("doc_id", F.explode(grams("t", lengths(asked), " ")).alias("gram")).join(small(asked), "gram").select("item_id", "doc_id", "phrase")
+    return d.join(cand, "doc_id").where(F.contains(run_of("t"), F.col("phrase"))).select("item_id", "doc_id")
 
 
 @query(f"""WITH b AS (SELECT item_id, text FROM benchmark) SELECT b.item_id, count(d.doc_id) AS n_docs, min(d.doc_id) AS first_doc FROM b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id""")
 def span_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many texts hold each gold span verbatim: candidates by the span's longest word, then an exact test."""
-    gold = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span"))
-    inner = F.slice(F.split("span", r"\s+"), 2, F.greatest(F.size(F.split("span", r"\s+")) - 2, F.lit(0)))
-    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = small(gold.select("item_id", "span", key.alias("word")))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cand = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).join(keyed, "word").select("item_id", "doc_id", "span")
-    hit = d.join(cand, "doc_id").where(F.contains("text", "span")).select("item_id", "doc_id").distinct()
-    return gold.select("item_id").join(hit.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")), "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "first_doc")
+    """How many texts hold each gold span verbatim."""
+    gold, hit = table(spark, sf_dir, "benchmark").select("item_id"), span_pairs(spark, sf_dir)
+    return gold.join(hit.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")), "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "first_doc")
 
 
 @query(f"""{LEGS}, {fused_sql(1.0, 1.0, CUT)}, gold AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
@@ -169,10 +201,8 @@ SELECT k, count(*) AS n, sum(CASE WHEN best < k THEN 1 ELSE 0 END) AS hits, roun
 FROM h, (SELECT unnest([1, 3, 5, 12]) AS k) GROUP BY k""")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of gold spans whose text is among the first k fused hits, and the mean reciprocal rank."""
-    gold = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span"))
-    pairs = phrase_search(spark, sf_dir).join(small(gold), "item_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", "span")).select("item_id", "doc_id")
     hits = rrf_fuse(spark, sf_dir).select("item_id", "doc_id", "rank")
-    best = pairs.join(hits, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.min("rank").alias("best"))
+    best = span_pairs(spark, sf_dir).join(hits, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.min("rank").alias("best"))
     each = best.withColumn("k", F.explode(F.array(*map(F.lit, (1, 3, 5, 12)))))
     hit = F.coalesce(F.col("best") < F.col("k"), F.lit(False))
     return each.groupBy("k").agg(F.count("*").alias("n"), F.sum(hit.cast("long")).alias("hits"), F.round(F.avg(hit.cast("double")), 6).alias("recall"), F.round(F.avg(F.when(hit, 1 / (F.col("best") + 1)).otherwise(0.0)), 6).alias("mrr"))
