@@ -6,12 +6,24 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme; one without belongs to the cluster's default file system."""
+    p, fs = _file_system(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
@@ -20,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
+        return qualified(spark, named)
     own = spark.conf.get("docstrata.scratch", None)
     if not own:
         if not spark.sparkContext.master.startswith("local["):
@@ -31,9 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
 
 
 @atexit.register
@@ -51,11 +62,29 @@ def table_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: lineage ends here, and lost executors cost no recomputation."""
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts, so Spark's own 10000 rows an Arrow batch are too many; a session's own setting stays."""
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
+def saved(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again: lineage ends here, and lost executors cost no recomputation.
+
+    ``batch`` is the number of rows an Arrow batch while ``df`` is written, for rows that are large.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    path, usual = table_path(spark, name), spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, batch or usual)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, usual)
+    out = spark.read.schema(df.schema).parquet(path)
     out._docstrata_path = path
     return out
 
@@ -78,12 +107,24 @@ def held_out(col: str, mod: int) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-FEW = 250_000  # rows of a narrow table (ids and flags) that may be broadcast
+FEW, FEW_BYTES = 250_000, 2 << 20  # rows, and bytes as written, of a table that may be broadcast
 
 
 def few(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it has at most FEW rows; a larger one is joined by shuffle."""
-    return F.broadcast(table) if table.count() <= FEW else table
+    """A table written by :func:`saved`, marked for broadcast if it is small in rows and in bytes; a larger one is joined by shuffle, and AQE splits its hot keys."""
+    p, fs = _file_system(table.sparkSession, table._docstrata_path)
+    if fs.getContentSummary(p).getLength() > FEW_BYTES or table.count() > FEW:
+        return table
+    return F.broadcast(table)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
