@@ -5,8 +5,13 @@ whole text, each chunk is max-pooled, and the chunk maxima are combined
 (largest and mean over chunks) into one probability.
 
 Edge cases: a null or empty text is one chunk of padding and gets a score; a
-repeated row is scored again; labels that are null are ignored; with no usable
-labels every score is 0.5; with one class only, the network learns that class.
+very long text is pooled slice by slice; a score hangs on the row's own text
+alone, so repeated rows, and rows in any order or partition, score the same; a
+score of exactly 0.5 counts as good; rows with a null id are scored; labels
+that are null are ignored; with no usable labels every score is 0.5; with one
+class only, the network learns that class; an empty table gives an empty
+result; columns other than doc_id and text are never read, whatever their
+names, and ``kept`` passes them through.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ class ByteConvNet:
         return cls(emb, filt, np.zeros(filters, np.float32), np.zeros(2 * filters, np.float32), 0.0)
 
     def responses(self, data: np.ndarray) -> list[np.ndarray]:
-        """One array (chunks, HOP/WIDTH, N) for each of the WIDTH/STRIDE offsets; data: chunks*HOP bytes and WIDTH more."""
+        """One array (chunks, HOP/WIDTH, N) for each of the WIDTH/STRIDE offsets; data: chunks * HOP bytes and WIDTH more."""
         chunks = (len(data) - WIDTH) // HOP
         dims = self.emb.shape[1]
         e = self.emb[data]
@@ -60,28 +65,34 @@ class ByteConvNet:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts padded to whole chunks in one array, and the first chunk of each."""
-    n = [max(1, -(-len(t) // HOP)) for t in texts]
-    first = np.concatenate([[0], np.cumsum(n)])
-    data = np.zeros(first[-1] * HOP + WIDTH, np.uint8)
-    for t, c in zip(texts, first, strict=False):
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts padded to whole chunks in one array, the chunks that hold text, and the place of each text's first among these.
+
+    An empty chunk follows every text: the last windows of a text reach into
+    it, and not into the next text.
+    """
+    n = np.array([max(1, -(-len(t) // HOP)) for t in texts])
+    begin = np.cumsum(n + 1) - (n + 1)
+    data = np.zeros((n + 1).sum() * HOP + WIDTH, np.uint8)
+    for t, c in zip(texts, begin, strict=True):
         data[c * HOP : c * HOP + len(t)] = np.frombuffer(t, np.uint8)
-    return data, first
+    real = np.ones((n + 1).sum(), bool)
+    real[begin + n] = False
+    return data, np.flatnonzero(real), np.r_[0, np.cumsum(n)]
 
 
 def scores(net: ByteConvNet, texts: list[bytes]) -> np.ndarray:
-    """A probability for each whole text; work arrays stay below a few SLICE bytes whatever a text's length."""
+    """A probability for each whole text, from its own bytes alone; work arrays stay below a few SLICE bytes whatever a text's length."""
     out = np.empty(len(texts))
     i = 0
     while i < len(texts):
         j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) + HOP <= SLICE):
-            size += len(texts[j]) + HOP
+        while j < len(texts) and (j == i or size + len(texts[j]) + 2 * HOP <= SLICE):
+            size += len(texts[j]) + 2 * HOP
             j += 1
-        data, first = laid_out(texts[i:j])
-        step = SLICE // HOP
-        p = np.vstack([net.pooled(data[a * HOP : min(a + step, first[-1]) * HOP + WIDTH]) for a in range(0, first[-1], step)])
+        data, real, first = laid_out(texts[i:j])
+        step, chunks = SLICE // HOP, (len(data) - WIDTH) // HOP
+        p = np.vstack([net.pooled(data[a * HOP : min(a + step, chunks) * HOP + WIDTH]) for a in range(0, chunks, step)])[real]
         top = np.maximum.reduceat(p, first[:-1], axis=0)
         mean = np.add.reduceat(p, first[:-1], axis=0) / np.diff(first)[:, None]
         out[i:j] = net.probability(top, mean)
@@ -106,9 +117,8 @@ def trained(texts: list[bytes], y: np.ndarray, dims: int = 4, filters: int = 16,
         order = r.permutation(len(texts))
         for at in range(0, len(order), size):
             pick = order[at : at + size]
-            data, first = laid_out([texts[k] for k in pick])
-            chunks = first[-1]
-            resp = np.concatenate(net.responses(data), axis=1)  # chunks x windows x N, offset-major
+            data, real, first = laid_out([texts[k] for k in pick])
+            resp = np.concatenate(net.responses(data), axis=1)[real]  # chunks x windows x N, offset-major
             won = resp.argmax(axis=1)
             pre = np.take_along_axis(resp, won[:, None, :], axis=1)[:, 0] + net.bias
             p = np.maximum(pre, 0)
@@ -123,9 +133,9 @@ def trained(texts: list[bytes], y: np.ndarray, dims: int = 4, filters: int = 16,
             g_p = (g_feat[:, filters:] / n)[doc] + g_feat[:, :filters][doc] * (p == top[doc])
             g_p = (g_p * (pre > 0)).astype(np.float32)
             per = HOP // WIDTH
-            start = np.arange(chunks)[:, None] * HOP + (won // per) * STRIDE + (won % per) * WIDTH
+            start = real[:, None] * HOP + (won // per) * STRIDE + (won % per) * WIDTH
             window = data[start[:, :, None] + np.arange(WIDTH)]  # chunks x N x WIDTH
-            e = net.emb[window].reshape(chunks, filters, -1)
+            e = net.emb[window].reshape(len(real), filters, -1)
             g_filt = np.einsum("cf,cfk->kf", g_p, e)
             g_e = g_p[:, :, None] * net.filt.T[None]
             g_emb = np.zeros_like(net.emb)
@@ -149,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, max_rows: int = 2500,
     lab = labels.where(~held_out("doc_id", fold) & F.col("quality").isin(0, 1)).select("doc_id", "quality").withColumn("_o", F.xxhash64("doc_id"))
     least = [lab.where(F.col("quality") == q).orderBy("_o", "doc_id").limit(max_rows // 2) for q in (0, 1)]  # ids only, and never more than max_rows
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(least[0].union(least[1])), "doc_id")
-    pick = sorted(rows.collect(), key=lambda x: (x["_o"], x["doc_id"], x["text"], x["quality"]))[:max_rows]
+    # An id may stand in many rows, so the bound is set again before anything is collected.
+    pick = rows.orderBy("_o", "doc_id", "text", "quality").limit(max_rows).collect()
     texts = [x["text"].encode() for x in pick]
     return trained(texts, np.array([x["quality"] for x in pick], np.float64))
 
