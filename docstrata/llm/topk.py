@@ -1,12 +1,13 @@
 """Exact top-k search by inner product: three-phase uniform threshold.
 
-Vectors are cut into ``groups`` runs of dimensions, so a pair's score is a sum
+Vectors are cut into ``groups`` runs of dimensions (or as many as they have
+dimensions, if fewer), so a pair's score is a sum
 of partial scores, and a node holds one run of one block of rows.
 
 1. Every node lists its best partial scores for each query; the best of each
    run are resolved, and the k-th best full score is the query's cutoff.
 2. A row whose full score reaches the cutoff has a partial score of at least
-   cutoff / groups in some run. Each node gets that bound and collects all
+   cutoff / runs in some run. Each node gets that bound and collects all
    entries that reach it, so no row that belongs to the answer is missed.
 3. The partial scores that are still missing for collected rows are resolved
    exactly, and the best k rows of each query remain.
@@ -15,10 +16,12 @@ All queries are compared with all rows in blocks: query blocks meet row blocks
 through an ordinary equality join on a salt, so neither side is broadcast.
 Equal vectors are searched once, with the k + 1 smallest ids among them.
 
-Edge cases: vectors that are null, empty, or hold null or non-finite components take no part, nor
-do rows with a null id; repeated rows count once; vectors are compared only
-with vectors of their own length; fewer than k candidates give fewer rows; an
-empty table gives an empty result; columns other than the two used are ignored.
+Edge cases: vectors that are null, empty, or hold null or non-finite
+components take no part, nor do rows with a null id; repeated rows count once;
+equal scores go to the smaller id; vectors are compared only with vectors of
+their own length, one dimension included; fewer than k candidates give fewer
+rows; an empty table gives an empty result; columns other than the two used
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import dropped, saved
 
 BLOCK_SCHEMA = "block long, dim int, n int, parts array<binary>, ids array<array<long>>"
 
@@ -102,7 +105,7 @@ ENTRIES = "qb long, block long, g int, q array<int>, x array<int>, p array<long>
 
 
 def entries(pairs: DataFrame, k: int, groups: int) -> DataFrame:
-    """Partial scores of a node: those that reach cutoff / groups where the query has a cutoff (column ``cut``, by query), else the k + 1 best where ``cut`` is null, else all."""
+    """Partial scores of a node: those that reach cutoff / runs where the query has a cutoff (column ``cut``, by query), else the k + 1 best where ``cut`` is null, else all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,7 +118,8 @@ def entries(pairs: DataFrame, k: int, groups: int) -> DataFrame:
                     x = x.reshape(-1)
                 else:
                     lowest = np.iinfo(np.int64).min
-                    cut = np.array([lowest if c is None else -(-c // groups) for c in r["cut"]])  # groups * p >= c
+                    runs = min(groups, r["dim"])
+                    cut = np.array([lowest if c is None else -(-c // runs) for c in r["cut"]])  # runs * p >= c
                     q, x = np.nonzero(p >= cut[:, None])
                 if len(q):
                     cols = [pa.array([r["qb"]]), pa.array([r["block"]]), pa.array([r["g"]], pa.int32())]
@@ -172,16 +176,22 @@ def resolved(found: DataFrame, qblocks: DataFrame, xblocks: DataFrame, k: int) -
 
 def search(queries: DataFrame, rows: DataFrame, k: int = 5, groups: int = 2, block: int = 2048, query_block: int = 256, salts: int = 16) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of ``rows`` (id, z) for each of ``queries`` (id, z), its own id left out. z: whole numbers as doubles."""
-    xb = saved(blocks(distinct_vectors(rows, k + 1), block, groups), "rows")
-    one = queries.select("id", "z").distinct().select("z", F.array("id").alias("ids"))
-    qb = saved(blocks(one, query_block, groups), "queries")
+    def packed(vectors: DataFrame, size: int, name: str) -> DataFrame:
+        """Blocks of a written table, in no more tasks than there are full blocks, so that few blocks stay part-filled."""
+        vectors = saved(vectors, "vectors")
+        out = saved(blocks(vectors.coalesce(max(1, -(-vectors.count() // size))), size, groups), name)
+        dropped(vectors)
+        return out
+
+    xb = packed(distinct_vectors(rows, k + 1), block, "rows")
+    qb = packed(queries.select("id", "z").distinct().select("z", F.array("id").alias("ids")), query_block, "queries")
 
     def nodes(q: DataFrame) -> DataFrame:
         left = q.select("dim", F.col("block").alias("qb"), F.col("n").alias("qn"), "cut", F.posexplode("parts").alias("g", "qdata"))
         left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         right = xb.select("dim", "block", "n", (F.col("block") % salts + F.shiftright("block", 32)).alias("_s"), F.posexplode("parts").alias("g", "xdata"))
         right = right.withColumn("salt", (F.col("_s") % salts).cast("int")).drop("_s")
-        return left.join(right, ["dim", "g", "salt"]).select("qb", "qn", "cut", "block", "n", "g", "qdata", "xdata")
+        return left.join(right, ["dim", "g", "salt"]).select("dim", "qb", "qn", "cut", "block", "n", "g", "qdata", "xdata")
 
     listed = entries(nodes(qb.withColumn("cut", F.lit(None).cast("array<long>"))), k, groups)
     flat = listed.select("qb", "block", "g", F.explode(F.arrays_zip("q", "x", "p")).alias("e")).select("qb", "block", "g", "e.*")
