@@ -12,12 +12,16 @@ Where ``spark.checkpoint.dir`` is a mounted folder the arrays are mapped in
 place; in an object store or HDFS, executors fetch the files themselves
 (``SparkContext.addFile``) and map their copy.
 
-All bigrams are stored. With ``least`` = 2 those seen once are not: their mass goes to the
-back-off weight of their context, and probabilities still add up to one.
-
-Edge cases: a null or empty text is the end token alone; repeated rows count
-and are scored each time; a null id counts as a training row; with no training
-text the base score is 0 and the model is uniform over one unknown word.
+All bigrams are stored. With ``least`` = 2 those seen once are not: their mass
+goes to the back-off weight of their context, and probabilities still add up
+to one. Words and pairs are told apart by 64-bit hash.
+
+Edge cases: a null or empty text is the end token alone; a very long text is
+one numpy pass; repeated rows and ids count and are scored each time; a null
+id counts as a training row; sums are exact counts, so there are no ties; an
+empty table gives an empty result, and with no training text the base score is
+0 and the model is uniform over one unknown word; columns other than doc_id
+and text are ignored, whatever their names. A missing model folder is an error.
 """
 
 from __future__ import annotations
@@ -40,7 +44,9 @@ from .ngram_join import mixed, slices, word_hashes
 from .shared import held_out, saved, table_path
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-PER_BUCKET = 6 << 20  # bytes of text whose counts meet in one bucket
+DONE = "whole"  # a file that stands beside a model's buckets when all are written
+PER_BUCKET = 12 << 20  # bytes of text whose counts meet in one bucket
+LOOKED_UP = 2 << 20  # bytes of text whose look-ups are sorted by bucket and made together
 FLUSH = 3_000_000  # bigrams that a task holds before it sends them on
 HOT = 1 / 2048  # a context of more than this share is dealt out over buckets by its successors
 
@@ -122,15 +128,15 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.n
 
 
 def _store(folder: str, name: str, *arrays: np.ndarray) -> None:
-    """Writes arrays under final names only when whole, so a task that runs again changes nothing."""
+    """Writes arrays of one length into one file, under its final name only when whole, so a task that runs again changes nothing."""
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root)
-    mine = uuid.uuid4().hex
-    for k, a in enumerate(arrays):
-        path = f"{root}/{name}-{k}"
-        with fs.open_output_stream(f"{path}.{mine}") as out:
+    path = f"{root}/{name}"
+    mine = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(mine) as out:
+        for a in arrays:
             out.write(np.ascontiguousarray(a).tobytes())
-        fs.move(f"{path}.{mine}", path)
+    fs.move(mine, path)
 
 
 @dataclass
@@ -147,12 +153,18 @@ class Model:
     low_backoff: float
 
     def opened(self, name: str, kinds: tuple[type, ...]) -> list[np.ndarray]:
+        """The arrays of a bucket, mapped; a bucket that nothing fell into has no file."""
         path = self.folder if self.local else SparkFiles.get(self.folder.rsplit("/", 1)[-1])
-        out = []
-        for k, kind in enumerate(kinds):
-            file = f"{path}/{name}-{k}"
-            out.append(np.memmap(file, kind, "r") if os.path.exists(file) and os.path.getsize(file) else np.zeros(0, kind))
-        return out
+        if not os.path.exists(f"{path}/{DONE}"):
+            raise FileNotFoundError(f"the model's folder {path} is not there: spark.checkpoint.dir has to be one that all executors share")
+        file = f"{path}/{name}"
+        if not os.path.exists(file):
+            return [np.zeros(0, kind) for kind in kinds]
+        data = np.memmap(file, np.uint8, "r")
+        wide = [np.dtype(kind).itemsize for kind in kinds]
+        n = len(data) // sum(wide)
+        at = np.cumsum([0, *wide]) * n
+        return [data[x:y].view(kind) for x, y, kind in zip(at, at[1:], kinds, strict=False)]
 
     def find(self, kind: str, types: tuple[type, ...], bucket: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
         """Values stored for sorted keys' buckets; zeros where there is none."""
@@ -223,8 +235,9 @@ def count_model(train: DataFrame, least: int = 1) -> Model:
     hot = np.sort(np.array([r["h"] for r in top if r["n"] > HOT * every], np.int64).view(np.uint64))
     layout = Layout(max(4, int(size / PER_BUCKET).bit_length()), hot)
     folder = table_path(spark, "model")
-    fs_local = "://" not in folder or folder.startswith("file:")
-    uri = folder if "://" in folder else f"file://{folder}"
+    fs_local = folder.startswith("file:")
+    mounted = "/" + folder.removeprefix("file:").lstrip("/")
+    uri = f"file://{mounted}" if fs_local else folder
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -295,9 +308,10 @@ def count_model(train: DataFrame, least: int = 1) -> Model:
     types = np.array([*s[3:5], 0], float)
     types[2] = s[1] - s[3] - s[4]
     backoff = (low[1] * types[0] + low[2] * types[1] + low[3] * max(types[2], 0)) / s[2] if s[2] else 1.0
+    _store(uri, DONE)
     if not fs_local:
         spark.sparkContext.addFile(folder, recursive=True)
-    return Model(folder.removeprefix("file://") if fs_local else folder, fs_local, layout, least, s[0], s[1], s[2], discounts(times), low, backoff)
+    return Model(mounted if fs_local else folder, fs_local, layout, least, s[0], s[1], s[2], discounts(times), low, backoff)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -305,7 +319,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in slices(b, 1):
+            for part, texts in slices(b, 1, LOOKED_UP):
                 context, target, n = sequences(texts)
                 p, base, count = model.log_probs(context, target)
                 first = np.cumsum(n) - n
