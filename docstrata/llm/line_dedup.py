@@ -17,10 +17,17 @@ Only lines that can have a partner emit variants: two lines within one edit
 share their first or last half, so halves are counted first, by hash. Equal
 lines are one row throughout, with the position of the first.
 
+A key that many lines share is summed up before it is shuffled, and the lines
+meet the result by a broadcast of bounded size or a join whose hot keys AQE
+splits; no window gathers a key's lines.
+
 Edge cases: null or empty texts stay as they are; rows with a null id stay
 whole and take no part; rows that repeat an id and its text are one document
-and keep or lose the same lines; an empty table stays empty; other columns
-pass through. A document whose lines all go keeps an empty text.
+and keep or lose the same lines; rows that share an id but not the text are
+documents of their own, in the order of a hash of the text; of equally early
+lines there is one only, as a place is unique; lines of any length are hashed
+and compared whole; an empty table stays empty; other columns, whatever their
+names, pass through. A document whose lines all go keeps an empty text.
 """
 
 from __future__ import annotations
@@ -29,11 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import INVERSE, mixed, powers, slices, word_hashes, words_at
-from .shared import few, saved
+from .shared import dropped, few, free_name, saved
 
 SPACE = r"[\x09-\x0D\x20]+"
 
@@ -48,12 +55,12 @@ LINE = "pos int, n int, c1 long, c2 long, halves array<long>"
 
 
 def lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """doc_id, position, number of words, 128-bit digest and half keys of every line that is long enough.
+    """Document, position, number of words, 128-bit digest and half keys of every line that is long enough.
 
     Half keys are hashes of the first and last half for a shorter length of n
     and of n - 1, so two lines within one edit have one in common.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,9 +89,9 @@ def lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
                 flat = np.stack(halves, axis=1)[near].reshape(-1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(near * 4)].astype(np.int32)), pa.array(flat))
                 cols = [part.column(0).take(pa.array(doc_of_line[keep])), pa.array(pos[keep].astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in c), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pos", "n", "c1", "c2", "halves"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc", "pos", "n", "c1", "c2", "halves"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {LINE}")
+    return docs.select("doc", "text").mapInArrow(run, f"doc {kind}, {LINE}")
 
 
 def one_deleted(h: np.ndarray) -> np.ndarray:
@@ -101,7 +108,7 @@ def whole(h: np.ndarray) -> np.uint64:
 
 
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, role, c1, c2, doc_id, pos) of each line (norm, c1, c2, doc_id, pos)."""
+    """Rows (key, role, doc, pos) of each line (norm, doc, pos)."""
     for b in batches:
         for part in (b.slice(k, 256) for k in range(0, b.num_rows, 256)):
             texts = [t or b"" for t in part.column(0).cast(pa.binary()).to_pylist()]
@@ -118,7 +125,7 @@ def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if keys:
                 at = pa.array(np.concatenate(row))
                 cols = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(role))]
-                yield pa.RecordBatch.from_arrays(cols + [part.column(c).take(at) for c in range(1, 5)], ["key", "role", "c1", "c2", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays(cols + [part.column(c).take(at) for c in (1, 2)], ["key", "role", "doc", "pos"])
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -139,43 +146,54 @@ def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["c1", "c2"]).filter(pa.array(ok, pa.bool_()))
 
 
+def document() -> Column:
+    """What tells documents apart: rows may share an id but not their text."""
+    return F.struct("doc_id", F.xxhash64("text").alias("h"))
+
+
 def removed(docs: DataFrame, min_words: int = 5, near_words: int = 8) -> DataFrame:
-    """doc_id and the sorted positions (from 0) of the lines that go, for documents that lose any."""
-    every = saved(lines(docs, min_words, near_words), "lines")
+    """doc_id, text hash (h) and the sorted positions (from 0) of the lines that go, for documents that lose any."""
+    named = docs.where(F.col("doc_id").isNotNull()).select(document().alias("doc"), "text")
+    kind = named.schema["doc"].dataType.simpleString()
+    every = saved(lines(named, min_words, near_words), "lines")
     # Equal lines are one class, with the places of its first and last line; a line's first place in its document is enough.
-    keyed = every.select("c1", "c2", F.struct("doc_id", "pos").alias("at"), "halves")
+    keyed = every.select("c1", "c2", F.struct("doc", "pos").alias("at"), "halves")
     classes = saved(keyed.groupBy("c1", "c2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max("halves").alias("halves")), "classes")
 
-    same = Window.partitionBy("half")
     dealt = classes.where(F.size("halves") > 0).select("c1", "c2", "first", F.explode(F.array_distinct("halves")).alias("half"))
-    several = dealt.withColumn("lo", F.min("c1").over(same)).withColumn("hi", F.max("c1").over(same)).where("lo <> hi")
-    alike = several.select("c1", "c2", "first").distinct()
+    both = saved(dealt.groupBy("half").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("half"), "halves")
+    alike = dealt.join(few(both), "half").select("first", "c1", "c2").distinct()
     # The words of these lines are read again where each first stands.
-    wanted = saved(alike.select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.pos").alias("pos"), "c1", "c2").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("w")), "wanted")
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.split("text", "\n").alias("parts")).join(few(wanted), "doc_id")
-    spread = texts.select("doc_id", "parts", F.explode("w").alias("w")).select(normal(F.get("parts", F.col("w.pos"))).alias("norm"), "w.c1", "w.c2", "doc_id", "w.pos")
+    wanted = saved(alike.select("first.doc", F.struct("first.pos", "c1", "c2").alias("w")).groupBy("doc").agg(F.collect_list("w").alias("w")), "wanted")
+    texts = named.select("doc", F.split("text", "\n").alias("parts")).join(few(wanted), "doc")
+    spread = texts.select("doc", "parts", F.explode("w").alias("w")).select(normal(F.get("parts", F.col("w.pos"))).alias("norm"), "w.c1", "w.c2", "doc", "w.pos")
     near = saved(spread, "near-lines")
+    dropped(wanted, both)
 
-    keys = near.mapInArrow(variants, f"key long, role int, c1 long, c2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int")
     # kind 0: all are within one edit of the earliest. kind 1: the one whole line is within one edit of each grown line.
-    me = F.struct("doc_id", "pos", "c1", "c2")
-    group = Window.partitionBy("key", "kind")
-    met = keys.withColumn("kind", F.least("role", F.lit(1)))
-    met = met.withColumn("single", F.min(F.when(F.col("role") != 1, me)).over(group)).withColumn("grown", F.min(F.when(F.col("role") == 1, me)).over(group))
-    met = met.withColumn("other", F.when(F.col("role") == 2, F.col("grown")).otherwise(F.col("single")))
-    earlier = met.where(F.col("other").isNotNull() & (F.struct("other.doc_id", "other.pos") < F.struct("doc_id", "pos"))).groupBy("c1", "c2").agg(F.min("other").alias("other"))
-    a, b = near.select("c1", "c2", "norm"), near.select(F.col("c1").alias("o1"), F.col("c2").alias("o2"), F.col("norm").alias("other_norm"))
-    pairs = earlier.select("c1", "c2", F.col("other.c1").alias("o1"), F.col("other.c2").alias("o2")).join(a, ["c1", "c2"]).join(b, ["o1", "o2"])
+    keys = near.select("norm", "doc", "pos").mapInArrow(variants, f"key long, role int, doc {kind}, pos int").select("key", "role", F.least("role", F.lit(1)).alias("kind"), F.struct("doc", "pos").alias("me"))
+    groups = keys.groupBy("key", "kind").agg(F.min(F.when(F.col("role") != 1, F.col("me"))).alias("single"), F.min(F.when(F.col("role") == 1, F.col("me"))).alias("grown"), F.count("*").alias("k"))
+    groups = saved(groups.where((F.col("k") > 1) & F.col("single").isNotNull()).drop("k"), "keys")
+    met = keys.join(few(groups), ["key", "kind"]).withColumn("other", F.when(F.col("role") == 2, F.col("grown")).otherwise(F.col("single")))
+    earlier = met.where(F.col("other") < F.col("me")).groupBy("me").agg(F.min("other").alias("other"))
+    a, b = (near.select(F.struct("doc", "pos").alias(place), "c1", "c2", F.col("norm").alias(norm)) for place, norm in (("me", "norm"), ("other", "other_norm")))
+    pairs = earlier.join(a, "me").join(b.drop("c1", "c2"), "other")
     close = pairs.select("c1", "c2", "norm", "other_norm").mapInArrow(checked, "c1 long, c2 long").withColumn("near", F.lit(True))
 
     going = classes.join(close, ["c1", "c2"], "left").where(F.col("near") | (F.col("first") < F.col("last"))).select("c1", "c2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    at = every.select("c1", "c2", "doc_id", "pos").join(going, ["c1", "c2"])
-    gone = at.where(F.col("near") | (F.col("first") < F.struct("doc_id", "pos")))
-    return saved(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
-
-
-def deduplicated(docs: DataFrame, min_words: int = 5, near_words: int = 8) -> DataFrame:
-    """``docs``, all columns, with the lines that go taken out of the text, and the array column ``_gone`` of their positions."""
-    out = docs.join(few(removed(docs, min_words, near_words)).withColumnRenamed("gone", "_gone"), "doc_id", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, "_gone")
+    going = saved(going, "going")
+    at = every.select("c1", "c2", "doc", "pos").join(few(going), ["c1", "c2"])
+    gone = at.where(F.col("near") | (F.col("first") < F.struct("doc", "pos")))
+    out = saved(gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("gone")).select("doc.*", "gone"), "gone")
+    dropped(every, classes, near, groups, going)
+    return out
+
+
+def deduplicated(docs: DataFrame, min_words: int = 5, near_words: int = 8, positions: str | None = None) -> DataFrame:
+    """``docs``, all columns, with the lines that go taken out of the text; ``positions`` names a further array column of their places (null: none)."""
+    doc, gone = free_name(docs, "doc"), positions or free_name(docs, "gone")
+    found = few(removed(docs, min_words, near_words)).select(F.struct("doc_id", "h").alias(doc), F.col("gone").alias(gone))
+    out = docs.withColumn(doc, document()).join(found, doc, "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
+    return out.withColumn("text", text).select(*docs.columns, *([gone] if positions else []))
