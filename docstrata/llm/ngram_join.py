@@ -3,22 +3,28 @@
 A document is the set of its distinct word n-grams (64-bit hashes), put into
 one global order: rare first, where rarity is a count per hash bucket over the
 whole corpus. Two sets of Jaccard similarity t or more share one of their
-first |S| - ceil(t|S|) + 1 elements, so candidates come from an equality join
-on those prefix elements. Candidates are verified exactly: around each centre
-the ordered sets of its partners form a prefix tree, the centre's set is
-carried down it so that partners share the overlap of a common path, and a
-subtree ends where the elements left cannot reach the needed overlap.
+first |S| - ceil(t|S|) + 1 elements, so the join is dealt out by these prefix
+elements: the sets that hold an element stand, from it on, as ordered lists in
+a prefix tree, and each walks the tree. Sets below a node share the overlap of
+the path to it, and a subtree ends where the elements left, or its sizes,
+cannot reach the needed overlap. Pairs that pass are decided on whole sets, in
+prefix trees around one set of each (``verified``). An element of many sets is
+dealt out in cells of two blocks of sets.
 
 Equal sets are one class from the start. In a group of many sets that share an
-element, each set is first compared with the group's smallest member only; a
-pair of sets is compared later only where its ends are not yet connected. So
-large groups of near copies cost comparisons in proportion to their size, and
-no link between different components is lost.
+element, each set is first compared with the group's middle set only; trees
+are then walked over sets whose components differ. So large groups of near
+copies cost comparisons in proportion to their size, and no link between
+different components is lost.
 
 Edge cases: null or empty texts have no set and are linked with nothing; fewer
-than n words make the whole word sequence one element; repeated rows and ids
-are linked as any other equal texts; a document with a null id is left out;
-other columns are ignored; empty tables give empty results.
+than n words make the whole word sequence one element; a row with a null id
+has its set's size and a null component, and is linked with nothing; repeated
+rows are linked as any other equal texts; rows that share an id but not their
+text count each their own set, and what either is linked with is linked; a
+similarity of exactly the bound links; very long texts are one numpy pass each;
+columns other than doc_id and text are ignored, whatever their names
+(``one_of_each`` passes them through); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import few, saved
+from .shared import dropped, few, saved
 
 SLICE = 1 << 20  # bytes of text that one numpy pass works on (a longer text is one pass)
 BUCKETS = 1 << 18  # cells of the rarity table; its size never grows
@@ -59,15 +66,19 @@ def powers(kind: str, n: int) -> np.ndarray:
     return p[:n]
 
 
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each start to its end, wherever they stand."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers("up", len(data)), out=total[1:])
+    return mixed((total[end] - total[start]) * powers("down", len(data))[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def words_at(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a text that ends in white space, and where they start; words are split at ASCII white space."""
+    """Hashes of all words of a text that ends in white space, and where they start; words are split at ASCII white space."""
     gap = IS_SPACE[data]
     start = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
     end = np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers("up", len(data)), out=total[1:])
-    h = mixed((total[end] - total[start]) * powers("down", len(data))[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return h, start
+    return run_hashes(data, start, end), start
 
 
 def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -100,16 +111,14 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.bincount(doc[new], minlength=len(texts))
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of a batch of about SLICE bytes of text each, with their texts (null: empty)."""
-    texts = [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
-    a = 0
-    while a < len(texts):
-        b, size = a, 0
-        while b < len(texts) and (b == a or size + len(texts[b]) <= SLICE):
-            size += len(texts[b])
-            b += 1
-        yield batch.slice(a, b - a), texts[a:b]
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of a batch of at most ``size`` bytes of text each (a longer text alone), with their texts (null: empty); no more than a part is copied."""
+    length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, a = np.cumsum(length), 0
+    while a < len(length):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - length[a] + size, side="right")))
+        part = batch.slice(a, b - a)
+        yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
         a = b
 
 
@@ -162,7 +171,7 @@ def prefixes(docs: DataFrame, rare: np.ndarray, n: int, percent: int) -> DataFra
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep)].astype(np.int32)), pa.array(pre))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["doc_id", "size", "c1", "c2", "prefix"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size long, c1 long, c2 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size long, c1 long, c2 long, prefix array<long>")
 
 
 def trie_matches(centre: np.ndarray, sets: list[np.ndarray], order: list[np.ndarray], percent: int) -> np.ndarray:
@@ -215,16 +224,21 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(F.size(F.array_intersect("a_prefix", "b_prefix")) >= least).select("a", "b")
 
 
-TREE = 256  # partners of a centre that share one tree
+TREE, TREE_BYTES = 256, 8 << 20  # partners of a centre that share one tree, and the size of their sets
+ROLES = 1024  # trees that one reading of a text serves
+SETS_A_BATCH = 64  # whole sets that pass between Spark and Python at once
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of document ids whose sets reach the similarity. Sets are made again from the texts of the documents in question."""
+    pairs = saved(pairs, "candidates")
     trees = pairs.groupBy("a").agg(F.ceil(F.count("*") / TREE).cast("int").alias("trees"))
-    pairs = pairs.join(trees, "a").withColumn("part", F.pmod(F.xxhash64("b"), "trees").cast("int"))
+    dealt = pairs.join(trees, "a").withColumn("part", F.pmod(F.xxhash64("b"), "trees").cast("int"))
     centre = trees.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("part"), "a", F.lit(None).cast("long").alias("b"))
-    partner = pairs.select(F.col("b").alias("doc_id"), "part", "a", "b")
-    roles = saved(centre.unionByName(partner).groupBy("doc_id").agg(F.collect_list(F.struct("a", "part", "b")).alias("roles")), "roles")
+    every = saved(centre.unionByName(dealt.select(F.col("b").alias("doc_id"), "part", "a", "b")), "every-role")
+    many = every.groupBy("doc_id").agg(F.ceil(F.count("*") / ROLES).cast("int").alias("readings"))
+    every = every.join(many, "doc_id").withColumn("reading", F.pmod(F.xxhash64("a", "b"), "readings"))
+    roles = saved(every.groupBy("doc_id", "reading").agg(F.collect_list(F.struct("a", "part", "b")).alias("roles")), "roles")
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(roles), "doc_id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,72 +253,163 @@ def verified(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, n: int, percen
     both = both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, key, held = None, None, []
+        centres, key, held, size = set(), None, [], 0
 
         def tree() -> pa.RecordBatch:
+            nonlocal size
             els = [np.frombuffer(e, np.uint64) for _, e in held]
             order = [np.hstack([rare[(e >> np.uint64(46)).astype(np.int64)].astype(">u4").reshape(-1, 1).view(np.uint8), e.astype(">u8").reshape(-1, 1).view(np.uint8)]) for e in els]
-            ok = trie_matches(centre, els, order, percent)
+            ok = np.any([trie_matches(np.frombuffer(c, np.uint64), els, order, percent) for c in centres], axis=0)
             got = [b for (b, _), y in zip(held, ok, strict=True) if y]
             held.clear()
+            size = 0
             return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(got), pa.int64()), pa.array(got, pa.int64())], ["a", "b"])
 
         for batch in batches:
             for a, p, b, e in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if held and ((a, p) != key or len(held) >= 2 * TREE):
+                if held and ((a, p) != key or len(held) >= 2 * TREE or size >= TREE_BYTES):
                     yield tree()
+                if (a, p) != key:
+                    centres, key = set(), (a, p)
                 if b is None:
-                    centre, key = np.frombuffer(e, np.uint64), (a, p)
+                    centres.add(e)  # more than one only where rows share an id
                 else:
                     held.append((b, e))
+                    size += len(e)
         if held:
             yield tree()
 
-    return saved(both.mapInArrow(judge, "a long, b long"), "links")
+    links = saved(both.mapInArrow(judge, "a long, b long"), "links", SETS_A_BATCH)
+    dropped(pairs, every, roles)
+    return links
+
+
+CELL = 512  # sets in a block of a cell of the tree join
+MIXED = object()  # stands for more than one component
+
+
+class Node:
+    """A node of a prefix tree: its element's children, the members that end here, and bounds over all below."""
+
+    __slots__ = ("children", "ends", "most", "low", "high", "component")
+
+    def __init__(self) -> None:
+        self.children: dict[int, Node] = {}
+        self.ends: list[int] = []
+        self.most, self.low, self.high, self.component = 0, 1 << 62, 0, MIXED
+
+    def hold(self, length: int, size: int, component: int) -> None:
+        self.component = component if not self.high or self.component == component else MIXED
+        self.most, self.low, self.high = max(self.most, length), min(self.low, size), max(self.high, size)
+
+
+Member = tuple[int, int, int, list[int], int]  # id, component, set size, shared prefix elements in order, place of the cell's element
+
+
+def walked(probes: list[Member], members: list[Member], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of ids of different components whose prefixes share enough, and first the cell's element.
+
+    A set that needs k of its s elements in the other may miss s - k, so two
+    prefixes share at least the shorter one's length less those misses.
+    """
+    root = Node()
+    for k, (_, component, size, els, at) in enumerate(members):
+        node, length = root, len(els) - at
+        node.hold(length, size, component)
+        for e in els[at:]:
+            node = node.children.setdefault(e, Node())
+            node.hold(length, size, component)
+        node.ends.append(k)
+    need = lambda a, b: -(-(percent * (a + b)) // (100 + percent))
+    rest = lambda a: 1 - -(-percent * a // 100)  # noqa: E731  prefix length less set size
+    for i, component, size, els, at in probes:
+        mine = set(els[at:])
+        stack = [(root, 0, 0)]
+        while stack:
+            node, depth, hits = stack.pop()
+            if node.component == component or percent * node.low > 100 * size or percent * size > 100 * node.high:
+                continue
+            # For sets below that are no larger the smallest asks for least, for larger ones the largest (here without rounding up).
+            least = min(need(size, node.low) + rest(size), percent * (size + node.high) / (100 + percent) - percent * node.high / 100)
+            if hits + min(node.most - depth, len(mine) - hits) < least:
+                continue
+            for k in node.ends:
+                j, other, n, theirs, where = members[k]
+                if component != other and i != j and hits >= need(size, n) + rest(max(size, n)) and set(els[:at]).isdisjoint(theirs[:where]):
+                    yield (i, j) if i < j else (j, i)
+            stack += [(child, depth + 1, hits + (e in mine)) for e, child in node.children.items()]
+
+
+def tree_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) among sets (rep, c, size) that share an element (e, at place pos) and differ in component c."""
+    lists = shared.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"]).alias("els"))
+    blocks = shared.groupBy("e").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
+    dealt = shared.join(blocks, "e").join(lists, "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), "n").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    dealt = dealt.select("e", "rep", "c", "size", "els", (F.array_position("els", F.col("e")) - 1).cast("int").alias("at"), "mine", other)
+    cells = dealt.select("e", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("probe"), "rep", "c", "size", "els", "at")
+    cells = cells.repartition("e", "i", "j").sortWithinPartitions("e", "i", "j")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, one, two = None, [], []
+
+        def out() -> pa.RecordBatch:
+            got = list(dict.fromkeys(walked(two if key[1] == key[2] else one, two, percent)))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            for e, i, j, probe, *member in zip(*(b.column(c).to_pylist() for c in range(9)), strict=True):
+                if key != (e, i, j):
+                    if two:
+                        yield out()
+                    key, one, two = (e, i, j), [], []
+                (one if probe else two).append(tuple(member))
+        if two:
+            yield out()
+
+    return cells.mapInArrow(join, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) of every row with an id."""
+    """doc_id, n_shingles, component_id (smallest id reachable by links) of every row."""
     rare = rarity(docs, n)
     rows = saved(prefixes(docs, rare, n, percent), "prefixes")
-    named = rows.where(F.col("size") > 0)
+    named = rows.where((F.col("size") > 0) & F.col("doc_id").isNotNull())
     # Equal sets are one class from here on; its smallest id stands for it.
     classes = saved(named.groupBy("c1", "c2", "size").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix")), "classes")
     els = classes.select("size", "rep", F.posexplode("prefix").alias("pos", "e"))
+    often = saved(els.groupBy("e").agg(F.count("*").alias("k")).where("k > 1"), "often")
+    met = saved(els.join(few(often), "e"), "met")
+    # The set whose prefix meets most others is nearest the middle of its group of near copies.
+    small = met.join(met.groupBy("rep").agg(F.sum("k").alias("w")), "rep")
     # Sets of like size share a band in one of two bandings, half a step apart; each meets the middle set of its bands.
     place = F.log(F.col("size").cast("double")) / float(np.log(100 / percent))
-    for k, shift in enumerate((0.0, 0.5)):
-        els = els.withColumn(f"band{k}", F.floor(place + shift).cast("int"))
-    met = els.withColumn("k", F.count("*").over(Window.partitionBy("e"))).where("k > 1")
-    met = saved(met, "met")
-    # The set whose prefix meets most others is nearest the middle of its group of near copies.
-    met = met.join(met.groupBy("rep").agg(F.sum("k").alias("w")), "rep")
-    for k in (0, 1):
-        met = met.withColumn(f"most{k}", F.max(F.struct("w", "size", "pos", (-F.col("rep")).alias("neg"))).over(Window.partitionBy("e", f"band{k}")))
-    small = saved(met.select("e", "size", "pos", "rep", "most0", "most1"), "shared")
+    me = F.struct("w", "size", "pos", (-F.col("rep")).alias("neg"))
+    banded = small.withColumn("band", F.explode(F.array(F.floor(place) * 2, F.floor(place + 0.5) * 2 + 1)))
+    middle = saved(banded.groupBy("e", "band").agg(F.max(me).alias("m"), F.count("*").alias("k")).where("k > 1").drop("k"), "middle")
+    banded = met.withColumn("band", F.explode(F.array(F.floor(place) * 2, F.floor(place + 0.5) * 2 + 1)))
 
     def near(x: str, y: str) -> Column:
         """Whether an element can be the first one shared by two sets that need it: at most |S| - needed elements come before it in each."""
         need = F.ceil((F.col(f"{x}size") + F.col(f"{y}size")) * percent / (100 + percent))
         return (F.col(f"{x}pos") <= F.col(f"{x}size") - need) & (F.col(f"{y}pos") <= F.col(f"{y}size") - need)
 
-    centre = small.select("size", "pos", "rep", F.explode(F.array("most0", "most1")).alias("c"))
-    star = centre.where((F.col("rep") != -F.col("c.neg")) & near("", "c.")).select((-F.col("c.neg")).alias("a"), F.col("rep").alias("b")).distinct()
+    centre = banded.join(few(middle), ["e", "band"])
+    star = centre.where((F.col("rep") != -F.col("m.neg")) & near("", "m.")).select((-F.col("m.neg")).alias("a"), F.col("rep").alias("b")).distinct()
     links = verified(plausible(star, classes, percent), docs, rare, n, percent)
     comp = saved(connected(links), "stars")
     # Elements whose sets are all in one component need no more comparisons.
-    with_c = small.select("e", "size", "pos", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("e", "size", "pos", "rep", F.coalesce("component", "rep").alias("c"))
-    open_e = with_c.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("e")
-    left = saved(with_c.join(open_e, "e"), "open")
-    x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep")) & near("x.", "y."))
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = verified(plausible(pairs, classes, percent), docs, rare, n, percent)
+    with_c = met.join(few(comp).withColumnRenamed("id", "rep"), "rep", "left").select("e", "size", "pos", "rep", F.coalesce("component", "rep").alias("c"))
+    open_e = saved(with_c.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("e"), "open")
+    left = saved(with_c.join(few(open_e), "e"), "left")
+    more = verified(tree_pairs(left, percent), docs, rare, n, percent)
+    dropped(often, met, middle, open_e, left)
     comp = saved(connected(links.union(more)), "components")
     named_c = classes.join(comp, F.col("rep") == F.col("id"), "left").select("c1", "c2", F.col("size").alias("_s"), F.coalesce("component", "rep").alias("component"))
     # A component's smallest id is that of its smallest class.
     out = rows.select("doc_id", "size", "c1", "c2").join(named_c.withColumnRenamed("_s", "size"), ["c1", "c2", "size"], "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

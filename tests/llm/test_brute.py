@@ -11,8 +11,8 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from docstrata.llm import line_dedup, mixing, ngram_join, pieces, pii
-from docstrata.llm.queries import QUERIES, SHARES
+from docstrata.llm import line_dedup, mixing, ngram_join, pieces, pii, quality, secrets
+from docstrata.llm.queries import MIX, QUERIES, SHARES
 from docstrata.llm.topk import product
 
 DATA = "/root/testdata/sf0.001"
@@ -121,8 +121,10 @@ def test_pieces_equal_the_library(texts):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     v = pieces.Vocabulary.load()
     many = [*texts.values(), "", " ", "   x", "a\tb\n\n", "▁▁ ▁", "naïve café 漢字 😀\0", "aaaaaaaaaaaaaaaaaaaaaaaa", "1234567890 " * 30, "x" * 5000]
-    ids, n = pieces.Encoder(v).encode(many)
+    raw = [t.encode() for t in many]
+    ids, n = pieces.Encoder(v).encode(raw)
     at = np.r_[0, np.cumsum(n)]
+    assert pieces.same_bytes(v, ids, n, raw).all()
     for t, a, b in zip(many, at, at[1:], strict=False):
         assert ids[a:b].tolist() == sp.encode(t)
         assert pieces.decode(v, ids[a:b].tolist()) == sp.decode(ids[a:b].tolist())
@@ -158,9 +160,66 @@ def test_secrets_base(spark, tmp_path, texts):
         assert got[i]["base_sha256"] == spans_sha([(k, a, b) for a, k, b in sorted(s)], kinds), t
 
 
-def test_random_strings_are_found_and_words_are_not(spark):
-    from docstrata.llm import secrets
+def battery(x):
+    """The three tests of a token and Fisher's combination, in plain Python."""
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [("[0-9]+", "0123456789", 10), ("[0-9a-f]+|[0-9A-F]+", "0123456789abcdef", 16), ("[a-z]+|[A-Z][a-z]+|[A-Z]+", lower, 26), ("[A-Z2-7]+=*", upper + "234567=", 32), (".*", upper + lower + "0123456789+/-_=", 64)]
+    _, alphabet, size = next(k for k in kinds if re.fullmatch(k[0], x))
+    x = x.lower() if size in (16, 26) else x
+    n = len(x)
+    tail = lambda z: max(1 / (1 + math.exp(1.5976 * (z := min(max(z, -8), 8)) + 0.07056 * z**3)), 1e-12)
+    chi = size / n * sum(c * c for c in collections.Counter(x).values()) - n
+    at = [alphabet.index(c) + 1 for c in x]
+    mean = sum(at) / n
+    high = sum(v >= mean for v in at)
+    runs = 1 + sum((a >= mean) != (b >= mean) for a, b in zip(at, at[1:], strict=False))
+    expected = 2 * high * (n - high) / n + 1
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    z_runs = abs(runs - expected) / math.sqrt(variance) if variance > 0 else 8
+    spread = sum((v - mean) ** 2 for v in at)
+    along = sum((a - mean) * (b - mean) for a, b in zip(at, at[1:], strict=False))
+    z_serial = abs(along / spread) * math.sqrt(n) if spread > 0 else 8
+    half = max(-(math.log(tail((chi - size + 1) / math.sqrt(2 * (size - 1)))) + math.log(2 * tail(z_runs)) + math.log(2 * tail(z_serial))), 0)
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_secrets_added(spark):
+    """Candidates, their cells and the thresholds of the false-discovery control against plain Python."""
+    r = np.random.default_rng(11)
+    draw = lambda chars, n: "".join(r.choice(list(chars), n))
+    hexes, b64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    docs = []
+    for i in range(300):
+        words = [draw("etaoinshr", int(r.integers(20, 50))) for _ in range(2)] + [draw(b64, int(r.integers(20, 90))), draw(hexes.upper(), 30), "long-words-joined-by-9-hyphens"]
+        words += ["secret=" + draw(b64, 30), draw(hexes, 40)] if i % 3 == 0 else ["1" * 40 + "é"] if i % 3 == 1 else []
+        docs.append((i, " ".join(words[int(k)] for k in r.permutation(len(words)))))
+    docs.append((300, " ".join(draw(b64, 22) + " token: " + draw(hexes, 25) for _ in range(150))))
+    plain, tested = [], {}
+    for i, t in docs:
+        base = [m.span() for m in re.finditer(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}|AKIA[A-Z0-9]{16,}", t, re.I | re.A)]
+        base += [m.span() for m in re.finditer("[0-9a-f]{24,}", t)]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
+            if re.fullmatch("[A-Za-z]+", m[0]):
+                plain.append(m[0])
+            elif not any(a < m.end() and m.start() < b for a, b in base):
+                tested.setdefault(i, []).append(m)
+    level = lambda x: max(0, min(59, math.floor(-4 * math.log10(max(battery(x), 1e-300)))))
+    size = lambda x: sum(len(x) > k for k in (24, 32, 48, 64))
+    cells = [(size(m[0]), level(m[0])) for ms in tested.values() for m in ms]
+    limit = []
+    for k in range(5):
+        null = [level(x) for x in plain if size(x) == k]
+        null = null if len(null) >= 200 else [level(x) for x in plain]
+        mine = [b for c, b in cells if c == k]
+        ok = [b for b in range(60) if any(x <= b for x in mine) and (sum(x <= b for x in null) + 1) / (len(null) + 1) * len(mine) / sum(x <= b for x in mine) <= 0.05]
+        limit.append(max(ok, default=-1))
+    want = {i: [m.span() for m in ms if level(m[0]) <= limit[size(m[0])]] for i, ms in tested.items()}
+    got = {x["doc_id"]: [(s["start"], s["end"]) for s in x["added"]] for x in secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: v for i, v in got.items() if v} == {i: v for i, v in want.items() if v}
+    assert sum(map(len, want.values())) > 200
 
+
+def test_random_strings_are_found_and_words_are_not(spark):
     r = np.random.default_rng(4)
     chars = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
     docs = [(i, f"text {''.join(r.choice(chars, 40))}= end " + " ".join("".join(r.choice(list("aeinrst"), 24)) for _ in range(3)) + " long-hyphenated-words-in-a-row-9") for i in range(200)]
@@ -190,11 +249,11 @@ def test_language_model(spark, texts):
     context, mass = collections.Counter(), collections.Counter()
     for (a, _), n in pairs.items():
         context[a] += n
-        mass[a] += 1 if n == 1 else d[min(n, 3)]
+        mass[a] += d[min(n, 3)]
 
     def p(a, b):
         q = max(before[b] - low[min(before[b], 3)], 0) / t + left / (v + 1)
-        n = pairs[a, b] if pairs[a, b] > 1 else 0
+        n = pairs[a, b]
         return q if a not in context else max(n - d[min(n, 3)], 0) / context[a] + mass[a] / context[a] * q
 
     assert sum(p(b"the", w) for w in count) + left / (v + 1) * mass[b"the"] / context[b"the"] == pytest.approx(1)
@@ -220,12 +279,35 @@ def test_topk_beyond_doubles():
     assert product(q, x).tolist() == [[2**61 + 3, 2**30 + 6]]
 
 
-def test_mixing_meets_targets(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = mixing.mixed(d, mixing.domain_of(spark.read.parquet("/root/testdata/sf0.01/labels.parquet")), SHARES, "clean").collect()
-    t, p, w = (np.array([r[c] for r in rows], float) for c in ("tokens", "p", "rate"))
+@pytest.mark.parametrize(("shares", "anchor"), [(SHARES, "clean"), (MIX, None)])
+def test_mixing_meets_targets(spark, shares, anchor):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = mixing.mixed(d, mixing.domain_of(spark.read.parquet("/root/testdata/sf0.1/labels.parquet")), shares, anchor).collect()
+    t, p, w, n = (np.array([r[c] for r in rows], float) for c in ("tokens", "p", "rate", "copies"))
     now = (t[:, None] * p * w[:, None]).sum(0)
-    assert (w >= 0).all() and now / now.sum() == pytest.approx(list(SHARES.values()), abs=1e-4)
+    assert (w >= 0).all() and now / now.sum() == pytest.approx(list(shares.values()), abs=1e-4)
+    if anchor:
+        assert (n[p[:, 0] >= 0.5] >= 1).all()
+    else:
+        assert now.sum() == pytest.approx(t.sum(), rel=1e-4) and (n >= 2).sum() > 100
+    # Copies are the rates on average: totals differ by no more than a few standard deviations of the draws.
+    spread = np.sqrt((t[:, None] ** 2 * p**2 * ((w - np.floor(w)) * (1 - w + np.floor(w)))[:, None]).sum(0))
+    assert (np.abs((t[:, None] * p * n[:, None]).sum(0) - now) <= 5 * spread + 1).all()
+
+
+def test_rates_solve_the_bounded_least_squares(spark):
+    """Rates stay at 0 or more and leave no residual where plain projected gradients on the driver, run long, leave none."""
+    r = np.random.default_rng(9)
+    p, t = r.dirichlet([0.3, 0.3, 0.3], 400), r.integers(1, 900, 400)
+    post = spark.createDataFrame([(i, int(x), y) for i, (x, y) in enumerate(zip(t, p.tolist(), strict=True))], "doc_id long, tokens long, p array<double>")
+    shares = np.array([0.65, 0.27, 0.08])
+    want, gram = np.ones(400), np.linalg.inv((t[:, None] * p).T @ p)
+    for _ in range(5000):
+        want = np.maximum(want - p @ (gram @ (t @ (p * want[:, None]) - t.sum() * shares)), 0)
+    assert t @ (p * want[:, None]) / t.sum() == pytest.approx(shares, abs=1e-4)
+    got = {x["doc_id"]: x["rate"] for x in mixing.rates(post, None, shares.tolist(), None).collect()}
+    w = np.array([got[i] for i in range(400)])
+    assert (w >= 0).all() and (w == 0).any() and t @ (p * w[:, None]) / t.sum() == pytest.approx(shares, abs=1e-4)
 
 
 def test_quality_on_held_out_labels(spark):
@@ -235,8 +317,29 @@ def test_quality_on_held_out_labels(spark):
     assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) >= 0.97
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    out = corpus_pipeline.run(spark, DATA).collect()
-    ids = {r["doc_id"] for r in docs.collect()}
-    assert out and {r["doc_id"] for r in out} <= ids and all(r["n_tokens"] == len(r["ids"]) for r in out)
+def test_pipeline(spark, texts):
+    """The five stages against plain Python on the small table; the networks' scores and the rates come from their operators, one text at a time."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
+    net = quality.fit(docs, labels)
+    left = {i: t for i, t in texts.items() if quality.scores(net, [(t or "").encode()])[0] >= 0.5}
+
+    lines = [(i, k, x.split()) for i in sorted(left) for k, x in enumerate((left[i] or "").split("\n"))]
+    lines = [x for x in lines if len(x[2]) >= 5]
+    gone, seen = collections.defaultdict(set), []
+    for i, k, w in lines:
+        if any(w == y or (min(len(w), len(y)) >= 8 and abs(len(w) - len(y)) <= 1 and line_dedup.within_one(w, y)) for y in seen):
+            gone[i].add(k)
+        seen.append(w)
+    for i, ks in gone.items():
+        left[i] = "\n".join(x for k, x in enumerate(left[i].split("\n")) if k not in ks)
+        if not left[i].strip(" "):
+            del left[i]
+
+    group = components({i: shingles(t, 5) for i, t in left.items()}, 80)
+    left = {i: t for i, t in left.items() if group[i] == i}
+
+    rated = mixing.mixed(spark.createDataFrame(list(left.items()), "doc_id long, text string"), mixing.domain_of(labels), SHARES, "clean")
+    times = {r["doc_id"]: r["copies"] for r in rated.collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    want = sorted((i, sp.encode(t or "")) for i, t in left.items() for _ in range(times[i]))
+    assert want and sorted((r["doc_id"], r["ids"]) for r in corpus_pipeline.run(spark, DATA).collect()) == want
