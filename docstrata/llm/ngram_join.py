@@ -288,86 +288,132 @@ CELL = 512  # sets in a block of a cell of the tree join
 MIXED = object()  # stands for more than one component
 
 
-class Node:
-    """A node of a prefix tree: its element's children, the members that end here, and bounds over all below."""
+Member = tuple[int, int, int, int, list[int]]  # id, component, set size, place of the cell's element in the set, shared prefix elements from it on
 
-    __slots__ = ("children", "ends", "most", "low", "high", "component")
 
-    def __init__(self) -> None:
-        self.children: dict[int, Node] = {}
-        self.ends: list[int] = []
-        self.most, self.low, self.high, self.component = 0, 1 << 62, 0, MIXED
+class Node:
+    """A node of a prefix tree: the members whose lists share the path to it, with bounds over them. Children come about when a walk gets here."""
 
-    def hold(self, length: int, size: int, component: int) -> None:
-        self.component = component if not self.high or self.component == component else MIXED
-        self.most, self.low, self.high = max(self.most, length), min(self.low, size), max(self.high, size)
+    __slots__ = ("members", "most", "low", "high", "component", "below")
 
+    def __init__(self, members: list[Member]) -> None:
+        self.members = members
+        sizes, components = [m[2] for m in members], {m[1] for m in members}
+        self.most, self.low, self.high = max(len(m[4]) for m in members), min(sizes), max(sizes)
+        self.component = components.pop() if len(components) == 1 else MIXED
+        self.below: dict[int | None, Node] | None = None
 
-Member = tuple[int, int, int, list[int], int]  # id, component, set size, shared prefix elements in order, place of the cell's element
+    def children(self, depth: int) -> dict[int | None, Node]:
+        if self.below is None:
+            dealt: dict[int | None, list[Member]] = {}
+            for m in self.members:
+                dealt.setdefault(m[4][depth] if len(m[4]) > depth else None, []).append(m)
+            self.below = {e: Node(ms) for e, ms in dealt.items()}
+        return self.below
 
 
 def walked(probes: list[Member], members: list[Member], percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of ids of different components whose prefixes share enough, and first the cell's element.
 
     A set that needs k of its s elements in the other may miss s - k, so two
-    prefixes share at least the shorter one's length less those misses.
+    prefixes share at least the shorter one's length less those misses. A path
+    ends in a single member, whose remaining elements are counted at once, or
+    in members of equal lists.
     """
-    root = Node()
-    for k, (_, component, size, els, at) in enumerate(members):
-        node, length = root, len(els) - at
-        node.hold(length, size, component)
-        for e in els[at:]:
-            node = node.children.setdefault(e, Node())
-            node.hold(length, size, component)
-        node.ends.append(k)
     need = lambda a, b: -(-(percent * (a + b)) // (100 + percent))
     rest = lambda a: 1 - -(-percent * a // 100)  # noqa: E731  prefix length less set size
-    for i, component, size, els, at in probes:
-        mine = set(els[at:])
-        stack = [(root, 0, 0)]
+    root = Node(members)
+    for i, component, size, pos, els in probes:
+        mine = set(els)
+        stack = [(root, 1, 1)]  # all share the cell's element
         while stack:
             node, depth, hits = stack.pop()
             if node.component == component or percent * node.low > 100 * size or percent * size > 100 * node.high:
                 continue
+            # What stands before the first shared element is missing from the other set, and the smallest set below asks for least.
+            if pos > size - need(size, node.low):
+                continue
             # For sets below that are no larger the smallest asks for least, for larger ones the largest (here without rounding up).
             least = min(need(size, node.low) + rest(size), percent * (size + node.high) / (100 + percent) - percent * node.high / 100)
             if hits + min(node.most - depth, len(mine) - hits) < least:
                 continue
-            for k in node.ends:
-                j, other, n, theirs, where = members[k]
-                if component != other and i != j and hits >= need(size, n) + rest(max(size, n)) and set(els[:at]).isdisjoint(theirs[:where]):
+            if len(node.members) > 1 and node.most > depth:
+                stack += [(child, depth + 1, hits + (e in mine)) for e, child in node.children(depth).items()]
+                continue
+            for j, other, n, where, theirs in node.members:
+                both = need(size, n)
+                if component != other and i != j and pos <= size - both and where <= n - both and hits + sum(e in mine for e in theirs[depth:]) >= both + rest(max(size, n)):
                     yield (i, j) if i < j else (j, i)
-            stack += [(child, depth + 1, hits + (e in mine)) for e, child in node.children.items()]
+
+
+CELL_NAMES = ["e", "i", "j", "probe", "rep", "c", "size", "pos"]
+CELL_KEY = "e long, i int, j int, probe boolean, rep long, c long, size long, pos int"
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows (without their keys) of each group, from rows sorted by the first ``keys`` columns."""
+    now, held = None, []
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in range(b.num_columns)), strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield now, held
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield now, held
 
 
 def tree_pairs(shared: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) among sets (rep, c, size) that share an element (e, at place pos) and differ in component c."""
-    lists = shared.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"]).alias("els"))
     blocks = shared.groupBy("e").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
-    dealt = shared.join(blocks, "e").join(lists, "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), "n").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    dealt = dealt.select("e", "rep", "c", "size", "els", (F.array_position("els", F.col("e")) - 1).cast("int").alias("at"), "mine", other)
-    cells = dealt.select("e", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("probe"), "rep", "c", "size", "els", "at")
-    cells = cells.repartition("e", "i", "j").sortWithinPartitions("e", "i", "j")
+    dealt = shared.join(blocks, "e").withColumn("mine", F.pmod(F.xxhash64("rep"), "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cells = dealt.select("e", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("probe"), "rep", "c", "size", "pos")
+    by_cell = lambda df: df.repartition("e", "i", "j").sortWithinPartitions("e", "i", "j")
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, one, two = None, [], []
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The members of cells that sizes and places leave a partner; the elements of all others need not be fetched."""
+        kept: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            got = list(dict.fromkeys(walked(two if key[1] == key[2] else one, two, percent)))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
+            cols = [list(x) for x in zip(*kept, strict=True)]
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], CELL_NAMES)
 
-        for b in batches:
-            for e, i, j, probe, *member in zip(*(b.column(c).to_pylist() for c in range(9)), strict=True):
-                if key != (e, i, j):
-                    if two:
-                        yield out()
-                    key, one, two = (e, i, j), [], []
-                (one if probe else two).append(tuple(member))
-        if two:
+        for (e, i, j), rows in grouped(batches, 3):
+            if len(rows) < 2:
+                continue
+            if len(rows) == 2 and i == j:  # as below, without arrays, as most cells are such
+                (_, _, c1, s1, p1), (_, _, c2, s2, p2) = rows
+                both = -(-(percent * (s1 + s2)) // (100 + percent))
+                if c1 != c2 and s1 - p1 >= both and s2 - p2 >= both:
+                    kept += [(e, i, j, *r) for r in rows]
+                continue
+            probe, _, c, size, pos = (np.array(x) for x in zip(*rows, strict=True))
+            one, two = (np.arange(len(rows)),) * 2 if i == j else (np.flatnonzero(probe), np.flatnonzero(~probe))
+            need = needed(size[one][:, None], size[two][None], percent)
+            ok = (c[one][:, None] != c[two][None]) & ((size - pos)[one][:, None] >= need) & ((size - pos)[two][None] >= need)
+            live = np.zeros(len(rows), bool)
+            live[one[ok.any(axis=1)]] = live[two[ok.any(axis=0)]] = True
+            kept += [(e, i, j, *rows[k]) for k in np.flatnonzero(live)]
+            if len(kept) > 10_000:
+                yield out()
+        if kept:
             yield out()
 
-    return cells.mapInArrow(join, "a long, b long").distinct()
+    left = saved(by_cell(cells).mapInArrow(hopeful, CELL_KEY), "cells")
+    reps = saved(left.select("rep").distinct(), "reps")
+    lists = shared.join(few(reps), "rep").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"]).alias("els"))
+    onward = F.slice("els", F.array_position("els", F.col("e")).cast("int"), F.size("els"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), rows in grouped(batches, 3):
+            one, two = ([r[1:] for r in rows if i == j or r[0] == side] for side in (True, False))
+            got = list(dict.fromkeys(walked(one, two, percent))) if one and two else []
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
+
+    found = by_cell(left.join(lists, "rep").select("e", "i", "j", "probe", "rep", "c", "size", "pos", onward.alias("els"))).mapInArrow(join, "a long, b long")
+    return found.distinct()
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
