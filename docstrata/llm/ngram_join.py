@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .components import connected
 from .shared import dropped, few, saved
 
-SLICE = 1 << 20  # bytes of text that one numpy pass works on (a longer text is one pass)
+SLICE = 1 << 18  # bytes of text that one numpy pass works on (a longer text is one pass)
 BUCKETS = 1 << 18  # cells of the rarity table; its size never grows
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))

@@ -42,12 +42,12 @@ from .ngram_join import run_hashes, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MARK = SPACE.encode()
-BATCH = 4 << 20  # bytes of text that are encoded together (a longer text alone)
-UNIT = 1 << 20  # bytes that one numpy pass cuts into words
-INDEXED = 1 << 20  # characters of one suffix array (a longer word has its own)
+BATCH = 2 << 20  # bytes of text that are encoded together (a longer text alone)
+UNIT = 1 << 19  # bytes that one numpy pass cuts into words
+INDEXED = 1 << 18  # characters of one suffix array (a longer word has its own)
 LONG = 2048  # characters; longer runs are relaxed one by one
-PAIRS = 4_000_000  # answers on pairs of pieces that a worker remembers
-KEPT = 800_000  # words that a worker remembers
+PAIRS = 2_000_000  # answers on pairs of pieces that a worker remembers
+KEPT = 500_000  # words that a worker remembers
 
 
 @dataclass

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import held_out
 
 WIDTH, STRIDE, HOP = 8, 2, 256  # filter width, its step, and new bytes a chunk; a chunk reads HOP + WIDTH - STRIDE bytes
-SLICE = 1 << 21  # padded bytes that one numpy pass works on; long texts are cut at chunk borders, and their pools merged
+SLICE = 1 << 19  # padded bytes that one numpy pass works on; long texts are cut at chunk borders, and their pools merged
 
 
 @dataclass
