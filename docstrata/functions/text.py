@@ -9,7 +9,7 @@ TOKEN = r"[\p{L}\p{N}_]+"
 
 # Redaction patterns, in the order they apply.
 REDACTIONS = (
-    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "[key]"),
+    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]*PRIVATE KEY-----)?", "[key]"),
     (r"://[^/\s:@]+:[^/\s@]+@", "://[credentials]@"),
     (r"(?i)(password|passwd|secret|token|api_?key)([\"']? *[:=] *[\"']?)[^\s\"']+", "$1$2[secret]"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[email]"),
@@ -22,6 +22,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda t: F.length(t) > 1)
 
 
+def n_tokens(text: Column) -> Column:
+    """How many tokens a text has, without making them."""
+    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"))
+
+
 TOKENS_SQL = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) > 1)"
 
 

@@ -25,31 +25,31 @@ def doc_type(head: Column) -> Column:
     return out
 
 
+UNITS = "day|week|month|year"
+DURATION = rf"(?i)(?:\(([0-9]+)\)|\b([0-9]+)|\b({'|'.join(NUMBERS)}))[ \t\n\r]+({UNITS})s?\b"  # number in parentheses, digits or word, then the unit
+FISCAL = r"(?i)\bFY ?((?:20)?[0-9]{2})(?:-([0-9]{2}))?\b"
+ISO = r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b"
+SPELT = r"\b([0-9]{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{4})\b"
+
+
 def duration(text: Column) -> Column:
-    """First duration as "60 days": digits in parentheses win over the word before them, digits over words."""
-    unit = r"\s+(day|week|month|year)s?"
-    inside = F.regexp_extract(text, r"(?i)\(([0-9]+)\)" + unit, 1)
-    digits = F.regexp_extract(text, r"(?i)([0-9]+)\)?" + unit, 1)
-    word = F.lower(F.regexp_extract(text, r"(?i)\b([a-z]+)" + unit, 1))
+    """First duration as "60 days", number and unit from one place: "sixty (60) days" counts its digits, and numbers without a unit are passed over."""
+    part = lambda k: F.nullif(F.regexp_extract(text, DURATION, k), F.lit(""))
     table = F.create_map(*(x for k, v in NUMBERS.items() for x in (F.lit(k), F.lit(str(v)))))
-    n = F.coalesce(F.nullif(inside, F.lit("")), F.nullif(digits, F.lit("")), F.try_element_at(table, word))
-    kind = F.lower(F.regexp_extract(text, r"(?i)(?:[0-9]\)?|[a-z])" + unit, 1))
-    return F.when(n.isNotNull() & (kind != ""), F.concat(n, F.lit(" "), kind, F.when(n == "1", "").otherwise("s")))
+    n = F.coalesce(part(1), part(2), F.try_element_at(table, F.lower(part(3))))
+    return F.concat(n, F.lit(" "), F.lower(part(4)), F.when(n == "1", "").otherwise("s"))
 
 
 def fiscal_year(text: Column) -> Column:
     """First fiscal-year label in its long form: FY25-26 and FY 2025-26 become FY2025-26."""
-    first = F.regexp_extract(text, r"(?i)\bFY ?((?:20)?[0-9]{2})(?:-([0-9]{2}))?\b", 1)
-    second = F.regexp_extract(text, r"(?i)\bFY ?((?:20)?[0-9]{2})(?:-([0-9]{2}))?\b", 2)
+    first, second = F.regexp_extract(text, FISCAL, 1), F.regexp_extract(text, FISCAL, 2)
     year = F.when(F.length(first) == 2, F.concat(F.lit("20"), first)).otherwise(first)
     return F.when(first != "", F.concat(F.lit("FY"), year, F.when(second != "", F.concat(F.lit("-"), second)).otherwise("")))
 
 
 def iso_dates(text: Column) -> Column:
     """Valid ISO and "5 March 2024" dates in order of form, without repeats."""
-    iso = F.regexp_extract_all(text, F.lit(r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b"), F.lit(1))
-    months = "January|February|March|April|May|June|July|August|September|October|November|December"
-    named = F.regexp_extract_all(text, F.lit(rf"\b([0-9]{{1,2}} (?:{months}) [0-9]{{4}})\b"), F.lit(1))
+    iso, named = (F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (ISO, SPELT))
     spelt = F.transform(named, lambda d: F.try_to_timestamp(d, F.lit("d MMMM yyyy")).cast("date"))
     return F.array_distinct(F.array_compact(F.concat(F.transform(iso, lambda d: d.try_cast("date")), spelt)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import VECTOR_OK, VERSIONS, table, vector_eligible, versions
-from ..operators.documents import citation_ids, doc_type
+from ..operators.documents import DURATION, FISCAL, ISO, NUMBERS, SPELT, citation_ids, doc_type, duration, fiscal_year, iso_dates
 from ..operators.sections import sections
 from ..registry import query
 
@@ -26,6 +26,23 @@ def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", doc_type(F.substring("html", 1, 2000)).alias("doc_type"))
 
 
+WORDS_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in NUMBERS.items()) + "}"
+
+
+@query(f"""WITH m AS (SELECT doc_id, regexp_extract(text, '{DURATION}', ['a', 'b', 'c', 'u']) AS d, regexp_extract(text, '{FISCAL}', ['a', 'b']) AS f,
+list_distinct(list_filter(list_concat(list_transform(regexp_extract_all(text, '{ISO}', 1), lambda x: try_cast(x AS DATE)),
+  list_transform(regexp_extract_all(text, '{SPELT}', 1), lambda x: CAST(try_strptime(x, '%d %B %Y') AS DATE))), lambda x: x IS NOT NULL)) AS dates FROM documents),
+n AS (SELECT *, coalesce(nullif(d.a, ''), nullif(d.b, ''), {WORDS_SQL}[lower(d.c)]) AS n FROM m)
+SELECT doc_id, n || ' ' || lower(d.u) || CASE WHEN n = '1' THEN '' ELSE 's' END AS duration,
+CASE WHEN f.a <> '' THEN 'FY' || CASE WHEN length(f.a) = 2 THEN '20' ELSE '' END || f.a || CASE WHEN f.b <> '' THEN '-' || f.b ELSE '' END END AS fiscal_year,
+CAST(len(dates) AS INTEGER) AS n_dates, list_min(dates) AS first_date FROM n""")
+def document_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First duration and fiscal-year label of each text, and its valid dates; one pass over each row, no shuffle."""
+    t = F.col("text")
+    d = table(spark, sf_dir, "documents").select("doc_id", duration(t).alias("duration"), fiscal_year(t).alias("fiscal_year"), iso_dates(t).alias("dates"))
+    return d.select("doc_id", "duration", "fiscal_year", F.size("dates").alias("n_dates"), F.array_min("dates").alias("first_date"))
+
+
 @query(f"""WITH {VERSIONS}, lab AS (SELECT doc_id, source_id, substr(sha256(text), 1, 12) AS id FROM ver), pair AS (SELECT a.doc_id, a.id AS id1, b.id AS id2 FROM lab a LEFT JOIN lab b ON b.doc_id = a.doc_id + 1),
 ok AS (SELECT DISTINCT substr(sha256(text), 1, 12) AS id FROM ver WHERE {VECTOR_OK}), c AS (SELECT doc_id, unnest(list_distinct(list_filter([id1, id2], lambda x: x IS NOT NULL))) AS id FROM pair)
 SELECT c.doc_id, count(*) AS cited, count(ok.id) AS valid, count(*) - count(ok.id) AS unknown FROM c LEFT JOIN ok ON ok.id = c.id GROUP BY c.doc_id""")

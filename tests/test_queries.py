@@ -104,3 +104,8 @@ def test_no_llm_import_outside():
         for n in names:
             if n.endswith(".py"):
                 assert "llm" not in open(os.path.join(d, n)).read().replace("literal", "")
+
+
+@pytest.mark.parametrize(("text", "want"), [("a -----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4\n\nMIIB+/=\n-----END RSA PRIVATE KEY----- b", "a [key] b"), ("-----BEGIN PRIVATE KEY-----\nMII and no end", "[key]\nMII and no end")])
+def test_whole_keys_go(spark, text, want):
+    assert one(spark, redact(F.lit(text))) == want
