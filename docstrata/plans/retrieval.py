@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKENS_SQL, tokens
+from ..functions.text import TOKENS_SQL, n_tokens, tokens
 from ..model import KEYWORD_OK, VECTOR_OK, VERSIONS, keyword_eligible, table, vector_eligible, versions
 from ..registry import query
 
@@ -13,9 +13,13 @@ K1, B, RRF, POOL, CUT = 1.2, 0.75, 60, 30, 12
 SMALL = 100_000  # rows of a question-side table that may be broadcast
 
 
+def fits(df: DataFrame, rows: int = SMALL) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame) -> DataFrame:
     """Marks a question-side table for broadcast if it is small; else it is joined by shuffle."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+    return F.broadcast(df) if fits(df) else df
 
 
 def top(df: DataFrame, by: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -25,21 +29,23 @@ def top(df: DataFrame, by: list[Column], k: int, rank: str = "rank") -> DataFram
 
 
 def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return small(table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, doc_id, score) of all documents that share a term with a question; statistics over the whole index."""
     terms = question_terms(spark, sf_dir)
-    lengths = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = lengths.select("doc_id", "dl", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    kept = F.broadcast if fits(terms) else lambda x: x  # no table below has more rows than ``terms``
+    docs = table(spark, sf_dir, "documents")
+    stats = docs.agg(F.count("*").alias("n"), F.avg(n_tokens(F.col("text"))).alias("avgdl"))
+    cut = docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    hits = cut.select("doc_id", "dl", F.explode("t").alias("term")).join(kept(terms.select("term").distinct()), "term", "left_semi")
     tf = hits.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    p = tf.join(df, "term").join(F.broadcast(stats))
+    p = tf.join(kept(df), "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = p.select("doc_id", "term", part.alias("part")).join(terms, "term")
+    scored = p.select("doc_id", "term", part.alias("part")).join(kept(terms), "term")
     return scored.groupBy("item_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
@@ -136,7 +142,8 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.format_string("[%s #%s]", F.col("source_id"), F.left(F.sha2("text", 256), F.lit(12)))
     v = versions(spark, sf_dir).select("doc_id", "source_id", label.alias("label"), F.ceil(F.length("text") / 3.0).alias("tokens"))
     used = F.sum("tokens").over(Window.partitionBy("item_id").orderBy("rank"))
-    out = v.join(small(hits), "doc_id").withColumn("used", used).where((F.col("rank") == 0) | (F.col("used") <= 6000))
+    bounded = fits(table(spark, sf_dir, "benchmark"), SMALL // CUT)  # each question has CUT hits at most, so the fused plan need not run to be counted
+    out = v.join(F.broadcast(hits) if bounded else hits, "doc_id").withColumn("used", used).where((F.col("rank") == 0) | (F.col("used") <= 6000))
     return out.select("item_id", "rank", "doc_id", "source_id", "label", "score", "tokens")
 
 
