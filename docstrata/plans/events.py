@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import table
+from ..operators.documents import duration, fiscal_year, iso_dates
 from ..registry import query
 from ..streaming.counts import streamed_counts
 
@@ -101,3 +102,17 @@ def event_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts kept by a stream over the event files."""
     return streamed_counts(spark, f"{sf_dir}/events.parquet")
+
+
+@query("""WITH e AS (SELECT event_id, user_id + 1 AS n, CAST(ts AS DATE) AS d, CAST(year(ts) AS BIGINT) AS y FROM events)
+SELECT event_id, n || CASE WHEN event_id % 2 = 0 THEN ' day' ELSE ' week' END || CASE WHEN n = 1 THEN '' ELSE 's' END AS duration,
+CASE WHEN event_id % 3 > 0 THEN 'FY' || y || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') END AS fiscal_year, 2 AS n_dates, d AS first_date FROM e""")
+def retention_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duration, fiscal year and dates read back from a retention note written for every event; the SQL has the values that went in."""
+    day, n = F.to_date("ts"), (F.col("user_id") + 1).cast("string")
+    label = F.concat(F.lit(" of FY"), F.date_format("ts", "yy"), F.lit("-"), F.date_format(F.add_months("ts", 12), "yy"))
+    kept = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("ninety ("), n, F.lit(") days"))).otherwise(F.concat(n, F.lit(" weeks")))
+    note = F.concat(F.lit("Logged "), F.date_format("ts", "d MMMM yyyy"), F.when(F.col("event_id") % 3 > 0, label).otherwise(""), F.lit(", kept "), kept, F.lit(" from "), F.date_add(day, 1).cast("string"), F.lit(" and five years at most"))
+    e = table(spark, sf_dir, "events").select("event_id", note.alias("t"))
+    e = e.select("event_id", duration(F.col("t")).alias("duration"), fiscal_year(F.col("t")).alias("fiscal_year"), iso_dates(F.col("t")).alias("dates"))
+    return e.select("event_id", "duration", "fiscal_year", F.size("dates").alias("n_dates"), F.array_min("dates").alias("first_date"))
