@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngram_join import mixed, slices, word_hashes
-from .shared import held_out, saved, table_path
+from .shared import held_out, lean, saved, table_path
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 DONE = "whole"  # a file that stands beside a model's buckets when all are written
@@ -229,7 +229,7 @@ def count_model(train: DataFrame, least: int = 1) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.uint64(0), h[often]].view(np.int64)), pa.array(np.r_[0, n[often]]), pa.array(np.r_[n.sum(), np.zeros(often.sum(), np.int64)]), size], ["h", "n", "all", "bytes"])
 
     # Only the layout depends on this glance at one row in a hundred: results are the same for any layout.
-    seen = train.sample(0.01, seed=1).mapInArrow(glance, "h long, n long, all long, bytes long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("all").alias("all"), F.sum("bytes").alias("bytes"))
+    seen = train.sample(0.01, seed=1).mapInArrow(lean(glance), "h long, n long, all long, bytes long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("all").alias("all"), F.sum("bytes").alias("bytes"))
     top = seen.orderBy(F.desc("bytes"), F.desc("n")).limit(int(1 / HOT)).collect()
     size, every = sum(r["bytes"] for r in top) * 100, sum(r["all"] for r in top)
     hot = np.sort(np.array([r["h"] for r in top if r["n"] > HOT * every], np.int64).view(np.uint64))
@@ -291,7 +291,7 @@ def count_model(train: DataFrame, least: int = 1) -> Model:
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition("bucket").sortWithinPartitions("bucket")
 
-    pairs = saved(by_bucket(train.mapInArrow(spread, "bucket long, data binary")).mapInArrow(add_pairs, "bucket long, data binary, times array<long>"), "words")
+    pairs = saved(by_bucket(train.mapInArrow(lean(spread), "bucket long, data binary")).mapInArrow(lean(add_pairs), "bucket long, data binary, times array<long>"), "words")
 
     def add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, arrays in _grouped(batches):
@@ -301,7 +301,7 @@ def count_model(train: DataFrame, least: int = 1) -> Model:
             sums = [n.sum(), (n > 0).sum(), cont.sum(), *np.bincount(np.minimum(cont[cont > 0], 5), minlength=6)[1:5]]
             yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in sums], list("abcdefg"))
 
-    totals = by_bucket(pairs.where("bucket >= 0").select("bucket", "data")).mapInArrow(add_words, "a long, b long, c long, d long, e long, f long, g long")
+    totals = by_bucket(pairs.where("bucket >= 0").select("bucket", "data")).mapInArrow(lean(add_words), "a long, b long, c long, d long, e long, f long, g long")
     s = [x or 0 for x in totals.agg(*(F.sum(c) for c in "abcdefg")).first()]
     times = [x or 0 for x in pairs.where("bucket < 0").agg(*(F.sum(F.get("times", k)) for k in range(4))).first()]
     low = discounts(s[3:7])
@@ -327,7 +327,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def perplexity_scores(spark: SparkSession, docs: DataFrame, fold: int = 5, least: int = 1) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import INVERSE, mixed, powers, slices, word_hashes, words_at
-from .shared import dropped, few, free_name, saved
+from .shared import dropped, few, free_name, lean, saved
 
 SPACE = r"[\x09-\x0D\x20]+"
 
@@ -91,7 +91,7 @@ def lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
                 cols = [part.column(0).take(pa.array(doc_of_line[keep])), pa.array(pos[keep].astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in c), lists]
                 yield pa.RecordBatch.from_arrays(cols, ["doc", "pos", "n", "c1", "c2", "halves"])
 
-    return docs.select("doc", "text").mapInArrow(run, f"doc {kind}, {LINE}")
+    return docs.select("doc", "text").mapInArrow(lean(run), f"doc {kind}, {LINE}")
 
 
 def one_deleted(h: np.ndarray) -> np.ndarray:
@@ -171,14 +171,14 @@ def removed(docs: DataFrame, min_words: int = 5, near_words: int = 8) -> DataFra
     dropped(wanted, both)
 
     # kind 0: all are within one edit of the earliest. kind 1: the one whole line is within one edit of each grown line.
-    keys = near.select("norm", "doc", "pos").mapInArrow(variants, f"key long, role int, doc {kind}, pos int").select("key", "role", F.least("role", F.lit(1)).alias("kind"), F.struct("doc", "pos").alias("me"))
+    keys = near.select("norm", "doc", "pos").mapInArrow(lean(variants), f"key long, role int, doc {kind}, pos int").select("key", "role", F.least("role", F.lit(1)).alias("kind"), F.struct("doc", "pos").alias("me"))
     groups = keys.groupBy("key", "kind").agg(F.min(F.when(F.col("role") != 1, F.col("me"))).alias("single"), F.min(F.when(F.col("role") == 1, F.col("me"))).alias("grown"), F.count("*").alias("k"))
     groups = saved(groups.where((F.col("k") > 1) & F.col("single").isNotNull()).drop("k"), "keys")
     met = keys.join(few(groups), ["key", "kind"]).withColumn("other", F.when(F.col("role") == 2, F.col("grown")).otherwise(F.col("single")))
     earlier = met.where(F.col("other") < F.col("me")).groupBy("me").agg(F.min("other").alias("other"))
     a, b = (near.select(F.struct("doc", "pos").alias(place), "c1", "c2", F.col("norm").alias(norm)) for place, norm in (("me", "norm"), ("other", "other_norm")))
     pairs = earlier.join(a, "me").join(b.drop("c1", "c2"), "other")
-    close = pairs.select("c1", "c2", "norm", "other_norm").mapInArrow(checked, "c1 long, c2 long").withColumn("near", F.lit(True))
+    close = pairs.select("c1", "c2", "norm", "other_norm").mapInArrow(lean(checked), "c1 long, c2 long").withColumn("near", F.lit(True))
 
     going = classes.join(close, ["c1", "c2"], "left").where(F.col("near") | (F.col("first") < F.col("last"))).select("c1", "c2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     going = saved(going, "going")

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import dropped, few, saved
+from .shared import dropped, few, lean, saved
 
 SLICE = 1 << 18  # bytes of text that one numpy pass works on (a longer text is one pass)
 BUCKETS = 1 << 18  # cells of the rarity table; its size never grows
@@ -134,7 +134,7 @@ def rarity(docs: DataFrame, n: int) -> np.ndarray:
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], ["cell", "n"])
 
-    summed = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    summed = docs.select("text").mapInArrow(lean(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS, np.int64)
     out[summed["cell"].to_numpy(np.int64)] = summed["n"]
     return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
@@ -171,7 +171,7 @@ def prefixes(docs: DataFrame, rare: np.ndarray, n: int, percent: int) -> DataFra
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep)].astype(np.int32)), pa.array(pre))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["doc_id", "size", "c1", "c2", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, size long, c1 long, c2 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, size long, c1 long, c2 long, prefix array<long>")
 
 
 def trie_matches(centre: np.ndarray, sets: list[np.ndarray], order: list[np.ndarray], percent: int) -> np.ndarray:
@@ -248,7 +248,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, n: int, percen
                 raw, first = ordered(h, size, rare).tobytes(), np.r_[0, np.cumsum(size)] * 8
                 yield pa.RecordBatch.from_arrays([pa.array([raw[x:y] for x, y in zip(first, first[1:], strict=False)], pa.binary()), part.column(1)], ["elements", "roles"])
 
-    sets = wanted.select("text", "roles").mapInArrow(make, "elements binary, roles array<struct<a:long,part:int,b:long>>")
+    sets = wanted.select("text", "roles").mapInArrow(lean(make), "elements binary, roles array<struct<a:long,part:int,b:long>>")
     both = sets.select(F.explode("roles").alias("r"), "elements").select("r.a", "r.part", "r.b", "elements")
     both = both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
@@ -279,7 +279,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, n: int, percen
         if held:
             yield tree()
 
-    links = saved(both.mapInArrow(judge, "a long, b long"), "links", SETS_A_BATCH)
+    links = saved(both.mapInArrow(lean(judge), "a long, b long"), "links", SETS_A_BATCH)
     dropped(pairs, every, roles)
     return links
 
@@ -401,7 +401,7 @@ def tree_pairs(shared: DataFrame, percent: int) -> DataFrame:
         if kept:
             yield out()
 
-    left = saved(by_cell(cells).mapInArrow(hopeful, CELL_KEY), "cells")
+    left = saved(by_cell(cells).mapInArrow(lean(hopeful), CELL_KEY), "cells")
     reps = saved(left.select("rep").distinct(), "reps")
     lists = shared.join(few(reps), "rep").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"]).alias("els"))
     onward = F.slice("els", F.array_position("els", F.col("e")).cast("int"), F.size("els"))
@@ -412,7 +412,7 @@ def tree_pairs(shared: DataFrame, percent: int) -> DataFrame:
             got = list(dict.fromkeys(walked(one, two, percent))) if one and two else []
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
 
-    found = by_cell(left.join(lists, "rep").select("e", "i", "j", "probe", "rep", "c", "size", "pos", onward.alias("els"))).mapInArrow(join, "a long, b long")
+    found = by_cell(left.join(lists, "rep").select("e", "i", "j", "probe", "rep", "c", "size", "pos", onward.alias("els"))).mapInArrow(lean(join), "a long, b long")
     return found.distinct()
 
 

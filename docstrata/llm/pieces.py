@@ -38,13 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import run_hashes, slices
+from .shared import lean
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MARK = SPACE.encode()
 BATCH = 2 << 20  # bytes of text that are encoded together (a longer text alone)
 UNIT = 1 << 19  # bytes that one numpy pass cuts into words
-INDEXED = 1 << 18  # characters of one suffix array (a longer word has its own)
+INDEXED = 1 << 17  # characters of one suffix array (a longer word has its own)
 LONG = 2048  # characters; longer runs are relaxed one by one
 PAIRS = 2_000_000  # answers on pairs of pieces that a worker remembers
 KEPT = 500_000  # words that a worker remembers
@@ -222,8 +223,8 @@ def relaxed(v: Vocabulary, start: np.ndarray, end: np.ndarray, piece: np.ndarray
         last[e], origin[e] = p, s
 
     # Runs of ordinary length go together, a position at a time.
-    by = np.flatnonzero(~far)
-    by = by[np.argsort(step[by], kind="stable")]
+    by = np.argsort(np.minimum(step, LONG + 1).astype(np.int16), kind="stable")
+    by = by[~far[by]]
     start, end, piece, step, opening = start[by], end[by], piece[by], step[by], (start == head)[by]
     turns = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else np.zeros(0, np.int64)
     for a, b in zip(turns, np.r_[turns, len(step)][1:], strict=True):
@@ -248,17 +249,18 @@ def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarra
     order = suffix_array(text, longest)
     lo, hi = occurrences(text, order, rows, length)
     n = hi - lo
-    start = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    piece, end = np.repeat(v.whole, n), start + np.repeat(length, n)
+    # Edges are many, so their arrays are of 32 bits.
+    start = order.astype(np.int32)[np.arange(n.sum(), dtype=np.int32) + np.repeat((lo - (np.cumsum(n) - n)).astype(np.int32), n)]
+    piece, end = np.repeat(v.whole.astype(np.int32), n), start + np.repeat(length.astype(np.int32), n)
     inside = np.zeros(len(text), bool)
     inside[begin + size] = True  # the separators
-    unknown = np.flatnonzero((text == 0) & ~inside)
+    unknown = np.flatnonzero((text == 0) & ~inside).astype(np.int32)
     unk = len(v.pieces)
     # No piece crosses an unknown character, so a run ends before it and another begins after it.
     opens = np.zeros(len(text) + 1, bool)
     opens[begin] = opens[unknown] = opens[unknown + 1] = True
-    head = np.maximum.accumulate(np.where(opens, np.arange(len(opens)), 0))
-    start, end, piece = np.r_[start, unknown], np.r_[end, unknown + 1], np.r_[piece, np.full(len(unknown), unk)]
+    head = np.maximum.accumulate(np.where(opens, np.arange(len(opens), dtype=np.int32), np.int32(0)))
+    start, end, piece = np.r_[start, unknown], np.r_[end, unknown + np.int32(1)], np.r_[piece, np.full(len(unknown), unk, np.int32)]
     last, origin = relaxed(v, start, end, piece, head[start], len(text))
 
     # A word's tokens, from its end back to its start, for all words at once.
@@ -441,7 +443,7 @@ def encoded(docs: DataFrame, v: Vocabulary, check: bool = True) -> DataFrame:
                 same = same_bytes(enc.v, ids, n, texts) if check else np.ones(len(n), bool)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(n), pa.array(same)], ["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decoded(tokens: DataFrame, v: Vocabulary) -> DataFrame:
@@ -452,4 +454,4 @@ def decoded(tokens: DataFrame, v: Vocabulary) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode(v, x or []) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(lean(run), f"doc_id {kind}, text string")

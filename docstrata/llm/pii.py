@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import lean, saved
 
 KINDS = ("email", "ip", "card", "phone")
 VOTES = 3  # against, for, none
@@ -200,7 +200,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
             found = [[dict(zip(NAMES, s, strict=True)) for s in candidates(t or "")] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, shape)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, spans {FOUND}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, spans {FOUND}")
 
 
 def ballots(n: int) -> np.ndarray:

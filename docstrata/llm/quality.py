@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out
+from .shared import held_out, lean
 
 WIDTH, STRIDE, HOP = 8, 2, 256  # filter width, its step, and new bytes a chunk; a chunk reads HOP + WIDTH - STRIDE bytes
 SLICE = 1 << 19  # padded bytes that one numpy pass works on; long texts are cut at chunk borders, and their pools merged
@@ -174,7 +174,7 @@ def score(docs: DataFrame, net: ByteConvNet) -> DataFrame:
                 texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(net, texts), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, fold: int = 3, **bounds: int) -> DataFrame:
@@ -194,4 +194,4 @@ def kept(docs: DataFrame, net: ByteConvNet, least: float = 0.5) -> DataFrame:
                 texts = [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
                 yield part.filter(pa.array(scores(net, texts) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
