@@ -1,6 +1,6 @@
 """Every registered query of the package and its SQL."""
 
-from .plans import cells, documents, evaluation, events, library, retrieval, text  # noqa: F401  each registers its queries
+from .plans import cells, documents, evaluation, events, library, reading, retrieval, text  # noqa: F401  each registers its queries
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
