@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ivf_pq, language_model, line_dedup, mixing, ngram_join, pieces, pii, quality, secrets, topk
+from . import ivf_pq, language_model, line_dedup, mixing, negatives, ngram_join, pieces, pii, quality, secrets, topk, urls, whitening
 from .shared import free_name, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,35 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(read(spark, sf_dir, "documents"), pieces.Vocabulary.load())
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(read(spark, sf_dir, "embeddings"), keep=8)
+    whole = F.col("deviation").try_cast("long")
+    return out.select(F.col("id").alias("vec_id"), F.col("component").cast("int").alias("component"), "n", whole.alias("deviation"), "whitened", "explained", "identity_error")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & topk.usable(F.col("embedding")))
+    rows = rows.select(F.col("vec_id").alias("id"), label.alias("label"), topk.whole_numbers(F.col("embedding")).alias("z"))
+    return negatives.mined(rows, F.col("id") % 100 == 0)
+
+
+ORACLE["op12_hard_negatives"] = """
+WITH v AS (SELECT vec_id, min({'label': CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END, 'z': list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))}) AS r FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+s AS (SELECT a.vec_id AS anchor_id, x.vec_id, x.r.label = a.r.label AS same, CAST(list_inner_product(a.r.z, x.r.z) AS BIGINT) AS score
+      FROM v a JOIN v x ON a.vec_id <> x.vec_id AND len(a.r.z) = len(x.r.z) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+@query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(read(spark, sf_dir, "pages"))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,3 +145,12 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def by_length(lists: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, positions, matrix) of the vectors of each length in an Arrow column without nulls."""
+    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    size = np.diff(at)
+    for d in np.unique(size):
+        rows = np.flatnonzero(size == d)
+        yield int(d), rows, flat[(at[rows][:, None] + np.arange(d)[None]).reshape(-1)].reshape(len(rows), d)

@@ -86,11 +86,23 @@ def matrix(data: bytes, n: int) -> np.ndarray:
 
 
 def product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of all rows as exact integers: in float64 while sums stay below 2**53, else in Python's integers."""
-    if not q.size or not x.size or float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53:
+    """Inner products of all rows as exact integers: in float64 while sums stay below 2**53, else in Python's integers, cut to the range of a long."""
+    if fits(q, x):
         return (q @ x.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
-    return (whole(q) @ whole(x).T).astype(np.int64)
+    return to_long(whole(q) @ whole(x).T)
+
+
+LEAST, MOST = int(np.iinfo(np.int64).min), int(np.iinfo(np.int64).max)
+
+
+def fits(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether inner products of rows of q and x are exact in float64."""
+    return not q.size or not x.size or float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53
+
+
+def to_long(p: np.ndarray) -> np.ndarray:
+    return np.minimum(np.maximum(p, LEAST), MOST).astype(np.int64)
 
 
 def best_of(q: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
