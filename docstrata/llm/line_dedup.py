@@ -1,10 +1,11 @@
 """Line dedup by a deletion neighbourhood over words; the earliest line stays.
 
 A line's words are what white space separates. A line of at least
-``min_words`` words goes if an earlier line (by doc_id, then position) has the
-same words; one of at least ``near_words`` words goes also if an earlier line
-of at least that many is within one word edit (insertion, deletion or
-substitution). Blank and shorter lines stay.
+``min_words`` words, or whose words have at least ``min_chars`` characters,
+goes if an earlier line (by doc_id, then position) has the same words; one of
+at least ``near_words`` words goes also if an earlier line of at least that
+many is within one word edit (insertion, deletion or substitution). Blank and
+shorter lines stay.
 
 Every line emits its variants with one word deleted, and itself, as hashed
 keys. Lines that share a key in the same role are all within the bound of each
@@ -54,7 +55,7 @@ def normal(line: Column) -> Column:
 LINE = "pos int, n int, c1 long, c2 long, halves array<long>"
 
 
-def lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
+def lines(docs: DataFrame, min_words: int, near_words: int, min_chars: int) -> DataFrame:
     """Document, position, number of words, 128-bit digest and half keys of every line that is long enough.
 
     Half keys are hashes of the first and last half for a shorter length of n
@@ -72,7 +73,9 @@ def lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
                 n = np.bincount(line, minlength=len(breaks))
                 doc_of_line = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), breaks, side="right")
                 pos = np.arange(len(breaks)) - np.searchsorted(doc_of_line, doc_of_line)
-                keep = np.flatnonzero(n >= min_words)
+                letters = np.r_[0, np.cumsum((data & 0xC0 != 0x80) & ((data < 9) | (data > 13)) & (data != 32))]  # characters begin at bytes that continue none
+                ends = np.r_[0, breaks + 1]
+                keep = np.flatnonzero((n >= min_words) | (letters[ends[1:]] - letters[ends[:-1]] >= min_chars))
                 z = np.cumsum(n)[keep]
                 n = n[keep]
                 a = z - n
@@ -151,11 +154,11 @@ def document() -> Column:
     return F.struct("doc_id", F.xxhash64("text").alias("h"))
 
 
-def removed(docs: DataFrame, min_words: int = 5, near_words: int = 8) -> DataFrame:
+def removed(docs: DataFrame, min_words: int = 5, near_words: int = 8, min_chars: int = 20) -> DataFrame:
     """doc_id, text hash (h) and the sorted positions (from 0) of the lines that go, for documents that lose any."""
     named = docs.where(F.col("doc_id").isNotNull()).select(document().alias("doc"), "text")
     kind = named.schema["doc"].dataType.simpleString()
-    every = saved(lines(named, min_words, near_words), "lines")
+    every = saved(lines(named, min_words, near_words, min_chars), "lines")
     # Equal lines are one class, with the places of its first and last line; a line's first place in its document is enough.
     keyed = every.select("c1", "c2", F.struct("doc", "pos").alias("at"), "halves")
     classes = saved(keyed.groupBy("c1", "c2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max("halves").alias("halves")), "classes")
@@ -189,10 +192,10 @@ def removed(docs: DataFrame, min_words: int = 5, near_words: int = 8) -> DataFra
     return out
 
 
-def deduplicated(docs: DataFrame, min_words: int = 5, near_words: int = 8, positions: str | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = 5, near_words: int = 8, min_chars: int = 20, positions: str | None = None) -> DataFrame:
     """``docs``, all columns, with the lines that go taken out of the text; ``positions`` names a further array column of their places (null: none)."""
     doc, gone = free_name(docs, "doc"), positions or free_name(docs, "gone")
-    found = few(removed(docs, min_words, near_words)).select(F.struct("doc_id", "h").alias(doc), F.col("gone").alias(gone))
+    found = few(removed(docs, min_words, near_words, min_chars)).select(F.struct("doc_id", "h").alias(doc), F.col("gone").alias(gone))
     out = docs.withColumn(doc, document()).join(found, doc, "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)

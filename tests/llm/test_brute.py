@@ -97,7 +97,7 @@ def test_edit_neighbourhood(spark):
         for b in lines[:i]:
             x, y = a.split(), b.split()
             near = min(len(x), len(y)) >= 8 and line_dedup.within_one(x, y)
-            if len(x) >= 5 and (x == y or near):
+            if (len(x) >= 5 or sum(map(len, x)) >= 20) and (x == y or near):
                 want.add((i // 3, i % 3))
     assert got == want
 
@@ -324,7 +324,7 @@ def test_pipeline(spark, texts):
     left = {i: t for i, t in texts.items() if quality.scores(net, [(t or "").encode()])[0] >= 0.5}
 
     lines = [(i, k, x.split()) for i in sorted(left) for k, x in enumerate((left[i] or "").split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= 5]
+    lines = [x for x in lines if len(x[2]) >= 5 or sum(map(len, x[2])) >= 20]
     gone, seen = collections.defaultdict(set), []
     for i, k, w in lines:
         if any(w == y or (min(len(w), len(y)) >= 8 and abs(len(w) - len(y)) <= 1 and line_dedup.within_one(w, y)) for y in seen):
