@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import held_out, lean
@@ -149,8 +149,15 @@ def trained(texts: list[bytes], y: np.ndarray, dims: int = 4, filters: int = 16,
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, max_rows: int = 2500, max_bytes: int = 16_384) -> ByteConvNet:
-    """Learns from at most ``max_rows`` labelled texts of at most ``max_bytes`` UTF-8 bytes.
+def spread(text: Column, pieces: int = 32, size: int = 512) -> Column:
+    """The text, or of one over ``pieces * size`` characters that many pieces spread evenly from its first character to its last."""
+    step = (F.length(text) - size) / (pieces - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) > pieces * size, F.array_join(cut, " ")).otherwise(text)
+
+
+def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, max_rows: int = 2500) -> ByteConvNet:
+    """Learns from at most ``max_rows`` labelled texts, of any length; a long one is learned from by pieces of all of it.
 
     Rows whose crc32(doc_id as text) mod ``fold`` is 1 are never learned from.
     The sample is drawn from the labels of smallest id hash, half for each
@@ -158,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, max_rows: int = 2500,
     """
     lab = labels.where(~held_out("doc_id", fold) & F.col("quality").isin(0, 1)).select("doc_id", "quality").withColumn("_o", F.xxhash64("doc_id"))
     least = [lab.where(F.col("quality") == q).orderBy("_o", "doc_id").limit(max_rows // 2) for q in (0, 1)]  # ids only, and never more than max_rows
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(least[0].union(least[1])), "doc_id")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", spread(F.col("text")).alias("text")).join(F.broadcast(least[0].union(least[1])), "doc_id")
     # An id may stand in many rows, so the bound is set again before anything is collected.
     pick = rows.orderBy("_o", "doc_id", "text", "quality").limit(max_rows).collect()
     texts = [x["text"].encode() for x in pick]
