@@ -24,8 +24,8 @@ Edge cases: rows with a null id or label, and vectors that are null, empty or
 hold null or non-finite components take no part; of rows that share an id, that
 with the smallest label, then the smallest vector, stands for all, so repeated
 rows count once; equal scores go to the smaller id; vectors are compared only
-with vectors of their own length; scores beyond a long are given as the nearest
-long; a positive below zero has an empty band; fewer candidates give fewer
+with vectors of their own length; scores of 2**63 or more are given as 2**63 - 1,
+with their sign; a positive below zero has an empty band; fewer candidates give fewer
 rows; an anchor without positives or a pair without negatives gives none; an
 empty table gives an empty result; other columns are ignored, whatever their
 names.

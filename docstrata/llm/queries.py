@@ -38,8 +38,8 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op2_exact_topk"] = """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS z FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.z, x.z) AS BIGINT) AS score
-      FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.z) = len(x.z) WHERE q.vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, max(CAST(list_inner_product(q.z, x.z) AS BIGINT)) AS score
+      FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.z) = len(x.z) WHERE q.vec_id % 50 = 0 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
@@ -91,7 +91,7 @@ ORACLE["op7_line_dedup"] = r"""
 WITH parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(generate_series(0, len(ls) - 1)) AS pos, unnest(ls) AS line FROM parts WHERE doc_id IS NOT NULL),
 w AS (SELECT doc_id, pos, line, string_split(trim(regexp_replace(line, '[\x09-\x0D\x20]+', ' ', 'g')), ' ') AS ws FROM l),
-c AS (SELECT ws, len(ws) AS n, min((doc_id, pos)) AS first FROM w WHERE len(ws) >= 5 GROUP BY ws),
+c AS (SELECT ws, len(ws) AS n, min((doc_id, pos)) AS first FROM w WHERE len(ws) >= 5 OR length(array_to_string(ws, '')) >= 20 GROUP BY ws),
 v AS (SELECT ws, n, first, unnest(generate_series(1, n)) AS i FROM c WHERE n >= 8),
 d AS (SELECT ws, n, first, i, list_concat(ws[1:i-1], ws[i+1:n]) AS k FROM v),
 near AS (SELECT DISTINCT a.ws FROM d a JOIN (SELECT k, i, n, min(first) AS f FROM d GROUP BY ALL) b ON a.k = b.k AND a.i = b.i AND a.n = b.n WHERE b.f < a.first

@@ -21,7 +21,9 @@ components take no part, nor do rows with a null id; repeated rows count once;
 equal scores go to the smaller id; vectors are compared only with vectors of
 their own length, one dimension included; fewer than k candidates give fewer
 rows; an empty table gives an empty result; columns other than the two used
-are ignored, whatever their names.
+are ignored, whatever their names. An id may stand beside several vectors:
+queries of one id have one ranking, and a pair of ids the best of its scores.
+Scores of 2**63 or more are given as 2**63 - 1, with their sign.
 """
 
 from __future__ import annotations
@@ -93,7 +95,8 @@ def product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return to_long(whole(q) @ whole(x).T)
 
 
-LEAST, MOST = int(np.iinfo(np.int64).min), int(np.iinfo(np.int64).max)
+MOST = int(np.iinfo(np.int64).max)
+LEAST = -MOST  # so that a score can be negated
 
 
 def fits(q: np.ndarray, x: np.ndarray) -> bool:
@@ -105,6 +108,13 @@ def to_long(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.maximum(p, LEAST), MOST).astype(np.int64)
 
 
+def once(q: np.ndarray, score: np.ndarray, vec: np.ndarray) -> np.ndarray:
+    """Positions of the highest score of each pair of q and vec."""
+    order = np.lexsort((-score, vec, q))
+    a, b = q[order], vec[order]
+    return order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]] if len(order) else order
+
+
 def best_of(q: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
     """Positions of each query's k highest scores, ties to smaller ``tie``."""
     order = np.lexsort((tie, -score, q))
@@ -153,21 +163,22 @@ def resolved(found: DataFrame, qblocks: DataFrame, xblocks: DataFrame, k: int) -
                 n = r["n"]
                 keys = [np.array(e["q"], np.int64) * n + np.array(e["x"], np.int64) for e in r["lists"]]
                 every = np.unique(np.concatenate(keys))
-                total = np.zeros(len(every), np.int64)
+                exact = all(fits(matrix(qd, r["qn"]), matrix(xd, n)) for qd, xd in zip(r["qparts"], r["parts"], strict=True))
+                total = np.zeros(len(every), np.int64 if exact else object)
                 for g, (qd, xd) in enumerate(zip(r["qparts"], r["parts"], strict=True)):
-                    part, known = np.zeros(len(every), np.int64), np.zeros(len(every), bool)
+                    part, known = np.zeros(len(every), total.dtype), np.zeros(len(every), bool)
                     for e, key in zip(r["lists"], keys, strict=True):
-                        if e["g"] == g:
+                        if e["g"] == g and exact:
                             at = np.searchsorted(every, key)
                             part[at], known[at] = e["p"], True
                     left = np.flatnonzero(~known)
                     qm, xm = matrix(qd, r["qn"]), matrix(xd, n)
-                    exact = not qm.size or not xm.size or np.abs(qm).max() * np.abs(xm).max() * qm.shape[1] < 2**53
                     for a in range(0, len(left), 1 << 15):
                         at = left[a : a + (1 << 15)]
                         one, two = qm[every[at] // n], xm[every[at] % n]
                         part[at] = np.einsum("ij,ij->i", one, two).astype(np.int64) if exact else [sum(int(u) * int(v) for u, v in zip(*uv, strict=True)) for uv in zip(one, two, strict=True)]
                     total += part
+                total = total if exact else to_long(total)
                 ids = r["ids"]
                 count = np.array([len(i) for i in ids])
                 flat, first = np.concatenate([np.array(i, np.int64) for i in ids]), np.r_[0, np.cumsum(count)]
@@ -179,6 +190,8 @@ def resolved(found: DataFrame, qblocks: DataFrame, xblocks: DataFrame, k: int) -
                 qid = np.array([i[0] for i in r["qids"]], np.int64)
                 other = vec != qid[q]
                 q, vec, score = q[other], vec[other], score[other]
+                at = once(q, score, vec)
+                q, vec, score = q[at], vec[at], score[at]
                 at = best_of(q, score, vec, k)
                 cols = [pa.array(np.full(len(at), r["qb"])), pa.array(q[at].astype(np.int32)), pa.array(qid[q[at]]), pa.array(vec[at]), pa.array(score[at])]
                 yield pa.RecordBatch.from_arrays(cols, ["qb", "q", "query_id", "vec_id", "score"])
@@ -211,12 +224,13 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, groups: int = 2, blo
     flat = flat.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
     first = flat.groupBy("qb", "block", "g").agg(F.collect_list(F.struct("q", "x", "p")).alias("e")).select("qb", "block", "g", "e.q", "e.x", "e.p")
     ranked = Window.partitionBy("qb", "q").orderBy(F.desc("score"), "vec_id")
-    tops = resolved(first, qb, xb, k).withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") == k)
+    tops = resolved(first, qb, xb, k).groupBy("qb", "q", "vec_id").agg(F.max("score").alias("score")).withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") == k)
     cuts = saved(tops.groupBy("qb").agg(F.map_from_entries(F.collect_list(F.struct("q", "score"))).alias("cuts")), "cutoffs")
     aligned = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.try_element_at(F.col("cuts"), i))
     bounded = qb.join(cuts.withColumnRenamed("qb", "block"), "block", "left").withColumn("cuts", F.coalesce("cuts", F.create_map().cast("map<int,long>"))).withColumn("cut", aligned).drop("cuts")
     full = resolved(entries(nodes(bounded), k, groups), qb, xb, k)
-    out = full.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    whole = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = full.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
 
 

@@ -15,7 +15,7 @@ def plain(rows, anchor, k=5, m=10):
     out = []
     for a, (la, za) in one.items():
         if anchor(a):
-            others = sorted((-max(-(2**63), min(2**63 - 1, sum(int(u) * int(v) for u, v in zip(za, z, strict=True)))), i, lab) for i, (lab, z) in one.items() if i != a and len(z) == len(za))
+            others = sorted((-max(1 - 2**63, min(2**63 - 1, sum(int(u) * int(v) for u, v in zip(za, z, strict=True)))), i, lab) for i, (lab, z) in one.items() if i != a and len(z) == len(za))
             for s, p, _ in [o for o in others if o[2] == la][:k]:
                 hard = [(n, t) for t, n, lab in others if lab != la and -30 * s <= -100 * t <= -90 * s][:m]
                 out += [(a, p, r + 1, n, -s, -t) for r, (n, t) in enumerate(hard)]
