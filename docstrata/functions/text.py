@@ -30,6 +30,33 @@ def n_tokens(text: Column) -> Column:
 TOKENS_SQL = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) > 1)"
 
 
+# Words that lexical search leaves out, and letters with marks beside those without.
+STOPWORDS = (
+    "a an the is are was were be been being what which who whom whose when where why how "
+    "of to in on at by for with from as into and or not do does did this that these those"
+).split()
+MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿœæ", "aaaaaaceeeeiiiinoooooouuuuyyoa"
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+
+
+def stem(t: Column) -> Column:
+    """A word without its plural s, if it has more than three letters."""
+    return F.when((F.length(t) > 3) & t.endswith("s") & ~t.endswith("ss"), F.left(t, F.length(t) - 1)).otherwise(t)
+
+
+def terms(text: Column) -> Column:
+    """What lexical search indexes and asks for: stems of tokens without marks and stop words."""
+    stop = F.array(*map(F.lit, STOPWORDS))
+    return F.transform(F.filter(tokens(F.translate(F.lower(text), MARKED, PLAIN)), lambda t: ~F.array_contains(stop, t)), stem)
+
+
+STEM_SQL = "CASE WHEN length({0}) > 3 AND {0} LIKE '%s' AND {0} NOT LIKE '%ss' THEN left({0}, length({0}) - 1) ELSE {0} END"
+TERMS_SQL = (
+    f"list_transform(list_filter(regexp_extract_all(translate(lower({{0}}), '{MARKED}', '{PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}_]+'), "
+    f"lambda t: length(t) > 1 AND NOT list_contains({STOP_SQL}, t)), lambda t: {STEM_SQL.format('t')})"
+)
+
+
 def redact(text: Column) -> Column:
     for pattern, put in REDACTIONS:
         text = F.regexp_replace(text, pattern, put)

@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN, TOKENS_SQL, tokens
+from ..functions.text import STOP_SQL, STOPWORDS, TOKEN, TOKENS_SQL, stem, tokens
 from ..model import KEYWORD_OK, VERSIONS, keyword_eligible, table, versions
 from ..registry import query
 
-# The words that a question loses before it is matched, and how a number with thousands separators looks.
-STOPWORDS = (
-    "a an the is are was were be been being what which who whom whose when where why how "
-    "of to in on at by for with from as into and or not do does did this that these those"
-).split()
+# Fixed value: how a number with thousands separators looks.
 GROUPED = r"(?<![\p{L}\p{N}_.,])\d{1,3}(?:,\d{3})+(?:\.\d+)?(?![\p{L}\p{N}_])(?![.,]\d)"
-STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
 def words(text: Column) -> Column:
@@ -159,6 +154,5 @@ def context_room(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT stem, count(*) AS documents FROM t GROUP BY stem""")
 def stem_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents a term occurs, with a plural s taken off words of more than three letters."""
-    stem = lambda t: F.when((F.length(t) > 3) & t.endswith("s") & ~t.endswith("ss"), F.left(t, F.length(t) - 1)).otherwise(t)
     d = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.transform(tokens(F.col("text")), stem))).alias("stem"))
     return d.groupBy("stem").agg(F.count("*").alias("documents"))

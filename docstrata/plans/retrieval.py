@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKENS_SQL, n_tokens, tokens
+from ..functions.text import TERMS_SQL, TOKENS_SQL, terms, tokens
 from ..model import KEYWORD_OK, VECTOR_OK, VERSIONS, keyword_eligible, table, vector_eligible, versions
 from ..registry import query
 
@@ -25,32 +25,42 @@ def small(df: DataFrame) -> DataFrame:
 def top(df: DataFrame, by: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each question, ranked from 0."""
     w = Window.partitionBy("item_id").orderBy(*by)
-    return df.withColumn(rank, F.row_number().over(w) - 1).where(F.col(rank) < k)
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k).withColumn(rank, F.col(rank) - 1)  # a bound on row_number itself lets tasks keep k rows before the shuffle
 
 
 def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+
+
+EVERY = ""  # no term is empty: stands in each document once, for the statistics
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, score) of all documents that share a term with a question; statistics over the whole index."""
-    terms = question_terms(spark, sf_dir)
-    kept = F.broadcast if fits(terms) else lambda x: x  # no table below has more rows than ``terms``
-    docs = table(spark, sf_dir, "documents")
-    stats = docs.agg(F.count("*").alias("n"), F.avg(n_tokens(F.col("text"))).alias("avgdl"))
-    cut = docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    hits = cut.select("doc_id", "dl", F.explode("t").alias("term")).join(kept(terms.select("term").distinct()), "term", "left_semi")
+    """(item_id, doc_id, score) of all documents that share a term with a question; statistics over the whole index.
+
+    Texts are cut into terms once: postings of the questions' terms, and one of
+    ``EVERY`` for each document, are shuffled by document and term, and all
+    that follows reads that exchange.
+    """
+    asked = question_terms(spark, sf_dir)
+    kept = F.broadcast if fits(asked) else lambda x: x  # no table below has more rows than ``asked``
+    cut = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("t")).withColumn("dl", F.size("t"))
+    wanted = asked.select("term").union(spark.createDataFrame([(EVERY,)], "term string")).distinct()
+    hits = cut.select("doc_id", "dl", F.explode(F.concat("t", F.array(F.lit(EVERY)))).alias("term")).join(kept(wanted), "term", "left_semi")
     tf = hits.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # Written as one aggregate each over all of ``tf``, so that both plans keep its exchange as it is.
+    whole = F.col("term") == EVERY
+    stats = tf.agg(F.count_if(whole & (F.col("tf") > 0)).alias("n"), F.avg(F.when(whole, F.col("dl"))).alias("avgdl"))
+    df = tf.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") >= 0)).alias("df"))
     p = tf.join(kept(df), "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = p.select("doc_id", "term", part.alias("part")).join(kept(terms), "term")
+    scored = p.select("doc_id", "term", part.alias("part")).join(kept(asked), "term")
     return scored.groupBy("item_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
-BM25 = f"""q AS (SELECT item_id, unnest(list_distinct({TOKENS_SQL.format("text")})) AS term FROM benchmark),
-len AS (SELECT doc_id, {TOKENS_SQL.format("text")} AS t FROM documents),
+BM25 = f"""q AS (SELECT item_id, unnest(list_distinct({TERMS_SQL.format("text")})) AS term FROM benchmark),
+len AS (SELECT doc_id, coalesce({TERMS_SQL.format("text")}, []) AS t FROM documents),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM len),
 hit AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM len),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM hit WHERE term IN (SELECT term FROM q) GROUP BY ALL),
@@ -184,15 +194,18 @@ def span_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(cand, "doc_id").where(F.contains("text", "span")).select("item_id", "doc_id").distinct()
 
 
-@query(f"""WITH b AS (SELECT item_id, {TOKENS_SQL.format("text")} AS t FROM benchmark), d AS (SELECT doc_id, concat(' ', array_to_string({TOKENS_SQL.format("text")}, ' '), ' ') AS t FROM documents)
-SELECT item_id, doc_id FROM b JOIN d ON contains(d.t, concat(' ', array_to_string(b.t[1:5], ' '), ' ')) WHERE len(b.t) >= 5""")
+@query(f"""WITH {VERSIONS}, b AS (SELECT item_id, {TOKENS_SQL.format("text")} AS t FROM benchmark),
+d AS (SELECT doc_id, concat(' ', array_to_string({TOKENS_SQL.format("text")}, ' '), ' ') AS t FROM ver WHERE {KEYWORD_OK})
+SELECT item_id, doc_id FROM b JOIN d ON contains(d.t, concat(' ', array_to_string(b.t, ' '), ' ')) WHERE len(b.t) > 0""")
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold all of a question's tokens in a row: candidates by its first tokens, five at most, then the whole run."""
+    """Eligible documents that hold all of a question's tokens in a row: candidates by its longest token, then the whole run."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    asked = asked.select("item_id", run_of("t").alias("phrase"), F.least(F.size("t"), F.lit(5)).alias("n"), F.array_join(F.slice("t", 1, 5), " ").alias("gram"))
-    d = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
-    cand = d.select("doc_id", F.explode(grams("t", lengths(asked), " ")).alias("gram")).join(small(asked), "gram").select("item_id", "doc_id", "phrase")
-    return d.join(cand, "doc_id").where(F.contains(run_of("t"), F.col("phrase"))).select("item_id", "doc_id")
+    key = F.array_max(F.transform("t", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = asked.select("item_id", run_of("t").alias("phrase"), key.alias("key"))
+    ok = keyword_eligible(versions(spark, sf_dir)).select("doc_id", "text")
+    d = ok.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.array_distinct("t").alias("each"), run_of("t").alias("run"))
+    cand = d.select("doc_id", F.explode("each").alias("key"), "run").join(small(asked), "key")
+    return cand.where(F.contains("run", "phrase")).select("item_id", "doc_id")
 
 
 @query(f"""WITH b AS (SELECT item_id, text FROM benchmark) SELECT b.item_id, count(d.doc_id) AS n_docs, min(d.doc_id) AS first_doc FROM b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id""")
