@@ -46,8 +46,7 @@ def stem(t: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """What lexical search indexes and asks for: stems of tokens without marks and stop words."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.transform(F.filter(tokens(F.translate(F.lower(text), MARKED, PLAIN)), lambda t: ~F.array_contains(stop, t)), stem)
+    return F.transform(F.filter(tokens(F.translate(F.lower(text), MARKED, PLAIN)), lambda t: ~t.isin(STOPWORDS)), stem)
 
 
 STEM_SQL = "CASE WHEN length({0}) > 3 AND {0} LIKE '%s' AND {0} NOT LIKE '%ss' THEN left({0}, length({0}) - 1) ELSE {0} END"
