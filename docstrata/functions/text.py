@@ -77,9 +77,13 @@ def normal_name(name: Column) -> Column:
     return F.regexp_replace(x, "^the ", "")
 
 
+# Corporate suffixes, as they end a normal name.
+SUFFIXES = "inc incorporated corp corporation co company ltd limited llc llp lp plc gmbh ag sa bv nv".split()
+
+
 def core_name(name: Column) -> Column:
     """The normal name without trailing corporate suffixes."""
-    return F.regexp_replace(normal_name(name), r"( (inc|incorporated|corp|corporation|co|company|ltd|limited|llc|llp|lp|plc|gmbh|ag|sa|bv|nv))+$", "")
+    return F.regexp_replace(normal_name(name), f"( ({'|'.join(SUFFIXES)}))+$", "")
 
 
 def column_letters(n: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKENS_SQL, column_letters, column_number, core_name, normal_name, redact, redact_sql, tokens
+from ..functions.text import SUFFIXES, TOKENS_SQL, column_letters, column_number, core_name, normal_name, redact, redact_sql, tokens
 from ..model import table
 from ..registry import query
 from ..sources.html import visible_blocks
@@ -18,7 +18,7 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAME_SQL = r"regexp_replace(trim(regexp_replace(regexp_replace(replace(lower({0}), '&', ' and '), '[''’]', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), '^the ', '')"
-CORE = r" (inc|incorporated|corp|corporation|co|company|ltd|limited|llc|llp|lp|plc|gmbh|ag|sa|bv|nv)"
+CORE = f" ({'|'.join(SUFFIXES)})"
 
 
 @query(f"""WITH n AS (SELECT c_custkey AS id, 'customer' AS kind, c_name AS name FROM customer UNION ALL SELECT s_suppkey, 'supplier', s_name FROM supplier UNION ALL SELECT p_partkey, 'part', p_name FROM part)
