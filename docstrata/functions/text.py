@@ -9,8 +9,10 @@ TOKEN = r"[\p{L}\p{N}_]+"
 
 # Redaction patterns, in the order they apply.
 REDACTIONS = (
-    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]*PRIVATE KEY-----)?", "[key]"),
+    (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)", "[key]"),
     (r"://[^/\s:@]+:[^/\s@]+@", "://[credentials]@"),
+    (r"(?i)\b(bearer|basic)[ \t]+[A-Za-z0-9+/._~=-]{8,}", "$1 [secret]"),
+    (r"\b(?:AKIA[A-Z0-9]{16}|gh[a-z]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{12,}|sk-[A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{30,}|xox[a-z]-[A-Za-z0-9-]{10,}|hf_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", "[secret]"),
     (r"(?i)(password|passwd|secret|token|api_?key)([\"']? *[:=] *[\"']?)[^\s\"']+", "$1$2[secret]"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[email]"),
     (r"[0-9]{12,}", "[number]"),

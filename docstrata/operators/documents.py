@@ -14,7 +14,10 @@ TYPES = (
     ("report", r"(?i)\b(report|minutes|summary)\b"),
     ("letter", r"(?i)\bdear\b"),
 )
-NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "twelve": 12, "fifteen": 15, "thirty": 30, "sixty": 60, "ninety": 90}
+# Number words, from which those up to ninety-nine are made.
+ONES = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBERS = {w: k + 1 for k, w in enumerate(ONES)} | {w: 10 * k + 20 for k, w in enumerate(TENS)} | {f"{t}-{o}": 10 * k + 21 + j for k, t in enumerate(TENS) for j, o in enumerate(ONES[:9])}
 CITATION = r"\[([^\[\]#]+) #([0-9a-f]{12})\]"
 
 
@@ -26,7 +29,8 @@ def doc_type(head: Column) -> Column:
 
 
 UNITS = "day|week|month|year"
-DURATION = rf"(?i)(?:\(([0-9]+)\)|\b([0-9]+)|\b({'|'.join(NUMBERS)}))[ \t\n\r]+({UNITS})s?\b"  # number in parentheses, digits or word, then the unit
+WORD = f"(?:{'|'.join(TENS)})[- ](?:{'|'.join(ONES[:9])})|{'|'.join(reversed(NUMBERS))}"  # longer words first
+DURATION = rf"(?i)(?:\(([0-9]+)\)|\b([0-9]+)|\b({WORD}))(?:[ \t\n\r]+|-)({UNITS})s?\b"  # number in parentheses, digits or word, then the unit, after a space or hyphen
 FISCAL = r"(?i)\bFY ?((?:20)?[0-9]{2})(?:-([0-9]{2}))?\b"
 ISO = r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b"
 SPELT = r"\b([0-9]{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{4})\b"
@@ -36,7 +40,7 @@ def duration(text: Column) -> Column:
     """First duration as "60 days", number and unit from one place: "sixty (60) days" counts its digits, and numbers without a unit are passed over."""
     part = lambda k: F.nullif(F.regexp_extract(text, DURATION, k), F.lit(""))
     table = F.create_map(*(x for k, v in NUMBERS.items() for x in (F.lit(k), F.lit(str(v)))))
-    n = F.coalesce(part(1), part(2), F.try_element_at(table, F.lower(part(3))))
+    n = F.coalesce(part(1), part(2), F.try_element_at(table, F.replace(F.lower(part(3)), F.lit(" "), F.lit("-"))))
     return F.concat(n, F.lit(" "), F.lower(part(4)), F.when(n == "1", "").otherwise("s"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import VECTOR_OK, VERSIONS, table, vector_eligible, versions
-from ..operators.documents import DURATION, FISCAL, ISO, NUMBERS, SPELT, citation_ids, doc_type, duration, fiscal_year, iso_dates
+from ..operators.documents import DURATION, FISCAL, ISO, NUMBERS, SPELT, TYPES, citation_ids, doc_type, duration, fiscal_year, iso_dates
 from ..operators.sections import sections
 from ..registry import query
 
@@ -18,12 +18,19 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections(table(spark, sf_dir, "documents")).select("doc_id", "section", "first_line", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query(r"""WITH t AS (SELECT page_id, substr(html, 1, 2000) AS head FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(head, '(?i)\b(amendment|addendum)\b') THEN 'amendment' WHEN regexp_matches(head, '(?i)\b(agreement|contract|lease)\b') THEN 'agreement' WHEN regexp_matches(head, '(?i)\binvoice\b') THEN 'invoice'
-WHEN regexp_matches(head, '(?i)\b(policy|procedure)\b') THEN 'policy' WHEN regexp_matches(head, '(?i)\b(report|minutes|summary)\b') THEN 'report' WHEN regexp_matches(head, '(?i)\bdear\b') THEN 'letter' ELSE 'other' END AS doc_type FROM t""")
+HIDDEN = r"(?is)<head\b.*?</head\s*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
+TITLE = r"(?is)<title[^>]*>(.*?)</title\s*>"
+HEAD = 1800  # characters of a page that its type is read from: the title, then what is visible
+CASES = " ".join(f"WHEN regexp_matches(head, '{cue}') THEN '{name}'" for name, cue in TYPES)
+
+
+@query(rf"""WITH t AS (SELECT page_id, left(trim(regexp_replace(concat(regexp_extract(html, '{TITLE}', 1), ' ', regexp_replace(html, '{HIDDEN}', ' ', 'g')), '[ \t\n\r\f]+', ' ', 'g')), {HEAD}) AS head FROM pages)
+SELECT page_id, CASE {CASES} ELSE 'other' END AS doc_type FROM t""")
 def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document type from the head of each page, by ordered cues."""
-    return table(spark, sf_dir, "pages").select("page_id", doc_type(F.substring("html", 1, 2000)).alias("doc_type"))
+    """Document type from the title and the first visible characters of each page, by ordered cues."""
+    seen = F.concat(F.regexp_extract("html", TITLE, 1), F.lit(" "), F.regexp_replace("html", HIDDEN, " "))
+    head = F.left(F.trim(F.regexp_replace(seen, r"[ \t\n\r\f]+", " ")), F.lit(HEAD))
+    return table(spark, sf_dir, "pages").select("page_id", doc_type(head).alias("doc_type"))
 
 
 WORDS_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in NUMBERS.items()) + "}"
@@ -32,7 +39,7 @@ WORDS_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in NUMBERS.items()) + "
 @query(f"""WITH m AS (SELECT doc_id, regexp_extract(text, '{DURATION}', ['a', 'b', 'c', 'u']) AS d, regexp_extract(text, '{FISCAL}', ['a', 'b']) AS f,
 list_distinct(list_filter(list_concat(list_transform(regexp_extract_all(text, '{ISO}', 1), lambda x: try_cast(x AS DATE)),
   list_transform(regexp_extract_all(text, '{SPELT}', 1), lambda x: CAST(try_strptime(x, '%d %B %Y') AS DATE))), lambda x: x IS NOT NULL)) AS dates FROM documents),
-n AS (SELECT *, coalesce(nullif(d.a, ''), nullif(d.b, ''), {WORDS_SQL}[lower(d.c)]) AS n FROM m)
+n AS (SELECT *, coalesce(nullif(d.a, ''), nullif(d.b, ''), {WORDS_SQL}[replace(lower(d.c), ' ', '-')]) AS n FROM m)
 SELECT doc_id, n || ' ' || lower(d.u) || CASE WHEN n = '1' THEN '' ELSE 's' END AS duration,
 CASE WHEN f.a <> '' THEN 'FY' || CASE WHEN length(f.a) = 2 THEN '20' ELSE '' END || f.a || CASE WHEN f.b <> '' THEN '-' || f.b ELSE '' END END AS fiscal_year,
 CAST(len(dates) AS INTEGER) AS n_dates, list_min(dates) AS first_date FROM n""")

@@ -9,8 +9,8 @@ from ..functions.text import STOP_SQL, STOPWORDS, TOKEN, TOKENS_SQL, stem, token
 from ..model import KEYWORD_OK, VERSIONS, keyword_eligible, table, versions
 from ..registry import query
 
-# Fixed value: how a number with thousands separators looks.
-GROUPED = r"(?<![\p{L}\p{N}_.,])\d{1,3}(?:,\d{3})+(?:\.\d+)?(?![\p{L}\p{N}_])(?![.,]\d)"
+# How a number with thousands separators looks, with its sign.
+GROUPED = r"(?<![\p{L}\p{N}_.,])-?\d{1,3}(?:,\d{3})+(?:\.\d+)?(?![\p{L}\p{N}_])(?![.,]\d)"
 
 
 def words(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,9 +11,21 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors both write: under spark.checkpoint.dir, else (local sessions) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/docstrata-{name}-{uuid.uuid4().hex}"
+    """A new folder where driver and executors both write: under spark.checkpoint.dir, else (local sessions only) a temporary one. It goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
+    path = f"{base}/docstrata-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session is gone, and the folder goes with the cluster's own clean-up
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def daily(stream: DataFrame) -> DataFrame:
@@ -30,7 +43,8 @@ def streamed_counts(spark: SparkSession, path: str) -> DataFrame:
     """Runs the daily counts over all files there are, a micro-batch at a time, and returns the table they left."""
     seen = spark.read.parquet(path)
     out = folder(spark, "daily")
-    src = path if len(seen.inputFiles()) > 1 else path.rsplit("/", 1)[0] + "/*" + path.rsplit("/", 1)[1][-len("events.parquet") :]
+    above, name = path.rsplit("/", 1)
+    src = path if len(seen.inputFiles()) > 1 else f"{above}/[{name[0]}]{name[1:]}"  # a stream reads folders or patterns; this one fits the one file alone
     kind = seen.schema["ts"].dataType
     stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 16).parquet(src).withColumn("ts", F.col("ts").cast("timestamp"))
 

@@ -15,7 +15,7 @@ def test_sections(spark):
     assert got == [(1, 0, "", 0, "intro"), (1, 1, "A", 1, "# A\na1"), (1, 2, "A > B", 3, "## B\n```\n# not\n```"), (1, 3, "C", 7, "# C"), (1, 4, "C > D", 8, "### D\nd")]
 
 
-@pytest.mark.parametrize(("text", "want"), [("within sixty (60) days of", "60 days"), ("a term of 1 year", "1 year"), ("thirty days", "30 days"), ("soon", None), ("within 30 days, at most sixty (60) months", "30 days"), ("several days, then Two Weeks", "2 weeks")])
+@pytest.mark.parametrize(("text", "want"), [("within sixty (60) days of", "60 days"), ("a term of 1 year", "1 year"), ("thirty days", "30 days"), ("soon", None), ("within 30 days, at most sixty (60) months", "30 days"), ("several days, then Two Weeks", "2 weeks"), ("forty-five days", "45 days"), ("twenty days", "20 days"), ("a 30-day notice", "30 days"), ("Ninety nine-day term", "99 days"), ("eleven months", "11 months"), ("seventy years", "70 years")])
 def test_duration(spark, text, want):
     assert one(spark, duration(F.lit(text))) == want
 
