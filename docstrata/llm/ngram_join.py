@@ -421,11 +421,17 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rare = rarity(docs, n)
     rows = saved(prefixes(docs, rare, n, percent), "prefixes")
     named = rows.where((F.col("size") > 0) & F.col("doc_id").isNotNull())
-    # Equal sets are one class from here on; its smallest id stands for it.
-    classes = saved(named.groupBy("c1", "c2", "size").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix")), "classes")
+    # Equal sets are one class from here on; its smallest id stands for it. Prefixes are shuffled of sets that stand more than once only.
+    key = ["c1", "c2", "size"]
+    many = saved(named.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").select(*key), "many")
+    once = named.join(few(many), key, "left_anti").select(*key, F.col("doc_id").alias("rep"), "prefix")
+    more = named.join(few(many), key, "left_semi").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"))
+    classes = saved(once.unionByName(more), "classes")
+    whole, rows = rows, saved(rows.select("doc_id", *key), "sizes")
+    dropped(whole, many)
     els = classes.select("size", "rep", F.posexplode("prefix").alias("pos", "e"))
     often = saved(els.groupBy("e").agg(F.count("*").alias("k")).where("k > 1"), "often")
-    met = saved(els.join(few(often), "e"), "met")
+    met = saved(els.join(often.hint("merge"), "e"), "met")  # by shuffle at every size
     # The set whose prefix meets most others is nearest the middle of its group of near copies.
     small = met.join(met.groupBy("rep").agg(F.sum("k").alias("w")), "rep")
     # Sets of like size share a band in one of two bandings, half a step apart; each meets the middle set of its bands.
@@ -448,9 +454,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     with_c = met.join(few(comp).withColumnRenamed("id", "rep"), "rep", "left").select("e", "size", "pos", "rep", F.coalesce("component", "rep").alias("c"))
     open_e = saved(with_c.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("e"), "open")
     left = saved(with_c.join(few(open_e), "e"), "left")
-    more = verified(tree_pairs(left, percent), docs, rare, n, percent)
+    rest = verified(tree_pairs(left, percent), docs, rare, n, percent)
     dropped(often, met, middle, open_e, left)
-    comp = saved(connected(links.union(more)), "components")
+    comp = saved(connected(links.union(rest)), "components")
     named_c = classes.join(comp, F.col("rep") == F.col("id"), "left").select("c1", "c2", F.col("size").alias("_s"), F.coalesce("component", "rep").alias("component"))
     # A component's smallest id is that of its smallest class.
     out = rows.select("doc_id", "size", "c1", "c2").join(named_c.withColumnRenamed("_s", "size"), ["c1", "c2", "size"], "left")
