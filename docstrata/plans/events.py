@@ -9,6 +9,7 @@ from ..model import table
 from ..operators.documents import duration, fiscal_year, iso_dates
 from ..registry import query
 from ..streaming.counts import streamed_counts
+from ..streaming.queue import batched, queued, run_closed
 
 QUIET, CAP = 3600, 21600
 
@@ -116,3 +117,45 @@ def retention_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", note.alias("t"))
     e = e.select("event_id", duration(F.col("t")).alias("duration"), fiscal_year(F.col("t")).alias("fiscal_year"), iso_dates(F.col("t")).alias("dates"))
     return e.select("event_id", "duration", "fiscal_year", F.size("dates").alias("n_dates"), F.array_min("dates").alias("first_date"))
+
+
+QUIET, AGE = 6 * 3600, 24 * 3600
+
+
+@query(f"""WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, epoch_us(ts) AS t, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+b AS (SELECT user_id, i, t AS first, t AS last, 1 AS batch FROM o WHERE i = 1 UNION ALL
+  SELECT o.user_id, o.i, CASE WHEN o.t >= least(b.last + {QUIET * 1000000}, b.first + {AGE * 1000000}) THEN o.t ELSE b.first END, o.t, b.batch + CASE WHEN o.t >= least(b.last + {QUIET * 1000000}, b.first + {AGE * 1000000}) THEN 1 ELSE 0 END
+  FROM b JOIN o ON o.user_id = b.user_id AND o.i = b.i + 1)
+SELECT user_id, make_timestamp(min(b.first)) AS first, make_timestamp(max(t)) AS last, make_timestamp(least(max(t) + {QUIET * 1000000}, min(b.first) + {AGE * 1000000})) AS released, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds
+FROM b JOIN o USING (user_id, i) GROUP BY user_id, batch""")
+def released_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events in batches released after six hours of quiet or a day after their first, by a stream that keeps open batches in state."""
+    columns = [F.col("user_id").alias("key"), F.col("event_type").alias("kind")]
+    rows = run_closed(spark, f"{sf_dir}/events.parquet", columns, batched(QUIET, AGE), "key long, first long, last long, released long, n long, kinds string", "2 days", "batches")
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
+    return rows.select(F.col("key").alias("user_id"), at("first"), at("last"), at("released"), "n", "kinds")
+
+
+KIND = {"click": "enqueue", "view": "enqueue", "purchase": "done", "error": "fail", "signup": "boost"}
+KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KIND.items()) + " END"
+
+
+@query(f"""WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, kind, size, prio) AS i FROM
+  (SELECT user_id, epoch_us(ts) AS t, {KIND_SQL} AS kind, CASE WHEN value < 5 THEN 1 ELSE 2 END AS size, CASE WHEN event_type = 'click' THEN 1 ELSE 2 END AS prio FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)),
+q AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS state, 0 AS prio, 0 AS size, 0 AS attempts, CAST(NULL AS BIGINT) AS since FROM o WHERE i = 1 UNION ALL
+  SELECT o.user_id, o.i,
+    CASE WHEN o.kind = 'enqueue' AND (q.state IS NULL OR o.size <> q.size) THEN 'queued' WHEN q.state = 'queued' AND o.kind = 'done' THEN 'done' WHEN q.state = 'queued' AND o.kind = 'fail' AND q.attempts >= 2 THEN 'dead' ELSE q.state END,
+    CASE WHEN o.kind = 'enqueue' AND (q.state IS NULL OR o.size <> q.size OR q.state = 'queued') THEN o.prio WHEN q.state = 'queued' AND o.kind = 'boost' THEN 0 ELSE q.prio END,
+    CASE WHEN o.kind = 'enqueue' AND (q.state IS NULL OR o.size <> q.size) THEN o.size ELSE q.size END,
+    CASE WHEN o.kind = 'enqueue' AND (q.state IS NULL OR o.size <> q.size) THEN 0 WHEN q.state = 'queued' AND o.kind = 'fail' THEN q.attempts + 1 ELSE q.attempts END,
+    CASE WHEN o.kind = 'enqueue' AND (q.state IS NULL OR o.size <> q.size) THEN o.t ELSE q.since END
+  FROM q JOIN o ON o.user_id = q.user_id AND o.i = q.i + 1)
+SELECT user_id, state, prio, CAST(size AS BIGINT) AS size, attempts, make_timestamp(since) AS since FROM q WHERE state IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""")
+def queue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The work queue after all events: enqueued, refreshed, reset, boosted, done and failed rows, kept by a stream. (A user stands for a path, a low or high value for its size.)"""
+    kind = F.create_map(*(F.lit(x) for kv in KIND.items() for x in kv))
+    columns = [F.col("user_id").alias("key"), F.try_element_at(kind, F.col("event_type")).alias("kind"), F.when(F.col("value") < 5, 1).otherwise(2).cast("long").alias("size"), F.when(F.col("event_type") == "click", 1).otherwise(2).alias("prio")]
+    schema = "key long, state string, prio int, size long, attempts int, since long, seq long, at long"
+    rows = run_closed(spark, f"{sf_dir}/events.parquet", columns, queued(), schema, "2 days", "queue")
+    last = rows.groupBy("key").agg(F.max_by(F.struct("state", "prio", "size", "attempts", "since"), F.struct("at", "seq")).alias("r"))
+    return last.select(F.col("key").alias("user_id"), "r.state", "r.prio", "r.size", "r.attempts", F.timestamp_micros("r.since").cast("timestamp_ntz").alias("since"))

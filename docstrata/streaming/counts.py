@@ -39,14 +39,18 @@ def bursts(stream: DataFrame, gap: str) -> DataFrame:
     return stream.withWatermark("ts", gap).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
+def source_of(spark: SparkSession, path: str) -> str:
+    """A path as streams read it: a folder, or a pattern that fits the one file alone."""
+    above, name = path.rsplit("/", 1)
+    return path if len(spark.read.parquet(path).inputFiles()) > 1 else f"{above}/[{name[0]}]{name[1:]}"
+
+
 def streamed_counts(spark: SparkSession, path: str) -> DataFrame:
     """Runs the daily counts over all files there are, a micro-batch at a time, and returns the table they left."""
     seen = spark.read.parquet(path)
     out = folder(spark, "daily")
-    above, name = path.rsplit("/", 1)
-    src = path if len(seen.inputFiles()) > 1 else f"{above}/[{name[0]}]{name[1:]}"  # a stream reads folders or patterns; this one fits the one file alone
     kind = seen.schema["ts"].dataType
-    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 16).parquet(src).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 16).parquet(source_of(spark, path)).withColumn("ts", F.col("ts").cast("timestamp"))
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.select(F.col("window.start").cast(kind).alias("day"), "event_type", "n").write.mode("overwrite").parquet(out)
