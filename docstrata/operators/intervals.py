@@ -21,7 +21,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STEP, LEVELS = 4, 32  # cells of level k are STEP ** k wide
+STEP = 4  # cells of level k are STEP ** k wide; level_of counts on it
 
 
 def width(level: Column) -> Column:
@@ -29,12 +29,8 @@ def width(level: Column) -> Column:
 
 
 def level_of(lo: Column, hi: Column) -> Column:
-    """The first level whose cells are at least as wide as the interval; by comparison, so that no rounding decides."""
-    size = hi - lo + 1
-    out = F.lit(LEVELS - 1)
-    for k in range(LEVELS - 2, -1, -1):
-        out = F.when(size <= STEP**k, k).otherwise(out)
-    return out
+    """The first level whose cells are at least as wide as the interval: half the binary digits of its size less one, so that no rounding decides."""
+    return F.when(hi <= lo, 0).otherwise(F.floor((F.length(F.bin(hi - lo)) + 1) / 2).cast("int"))
 
 
 def placed(df: DataFrame, side: str, axis: int, lo: str, hi: str, others: list[int] | None, strictly: bool) -> DataFrame:
@@ -44,7 +40,8 @@ def placed(df: DataFrame, side: str, axis: int, lo: str, hi: str, others: list[i
     if others is None:
         df = df.withColumn(level, own)
     else:
-        wide = F.filter(F.array(*map(F.lit, others)), (lambda k: k > own) if strictly else (lambda k: k >= own))
+        grids = F.array(*map(F.lit, others)) if others else F.array().cast("array<int>")
+        wide = F.filter(grids, (lambda k: k > own) if strictly else (lambda k: k >= own))
         df = df.withColumn(level, F.explode(wide))
     at = lambda c: ((F.col(c) - F.pmod(F.col(c), width(F.col(level)))) / width(F.col(level))).cast("long")  # noqa: E731  a multiple of the width, so the quotient is whole
     return df.withColumn(first, at(lo)).withColumn(cell, F.explode(F.sequence(F.col(first), at(hi))))
@@ -60,9 +57,9 @@ def overlapping(left: DataFrame, right: DataFrame, axes: list[tuple[str, str, st
     keys = keys or []
     for a, b, c, d in axes:
         left, right = left.where(F.col(a) <= F.col(b)), right.where(F.col(c) <= F.col(d))
-    used = []
-    for a, b, c, d in axes:  # the levels in use: LEVELS values at most
-        used.append([sorted(r["k"] for r in df.select(level_of(F.col(x), F.col(y)).alias("k")).distinct().collect()) for df, x, y in ((left, a, b), (right, c, d))])
+    levels = lambda df, ends: df.select(F.array(*(level_of(F.col(x), F.col(y)) for x, y in ends)).alias("k")).distinct().collect()  # noqa: E731  a few small numbers
+    both = [levels(left, [(a, b) for a, b, _, _ in axes]), levels(right, [(c, d) for _, _, c, d in axes])]
+    used = [[sorted({r["k"][i] for r in side}) for side in both] for i in range(len(axes))]
     out = None
     for wider in product((0, 1), repeat=len(axes)):  # on each axis: 0, the left side is at least as wide; 1, the right side is wider
         one, two, on, ok = left, right, list(keys), F.lit(True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import column_number
+from .chunking import let
 from .intervals import overlapping
 
 # Words for currencies and scales, the grid's limits, operations, and the budget of a step.
@@ -42,18 +43,21 @@ def unit_text(currencies: Column, scales: Column) -> Column:
 
 def context_unit(lines: Column) -> Column:
     """The unit that a sheet's context lines (an array) state together."""
-    s = stated(F.array_join(lines, " "))
-    return unit_text(s["currencies"], s["scales"])
+    return let(stated(F.array_join(lines, " ")), lambda s: unit_text(s["currencies"], s["scales"]))
 
 
 def cell_unit(header: Column, percent: Column, sheet: Column) -> Column:
     """A cell's unit: percent by format or header; else what stands in parentheses in the header, filled up from the sheet's; else the sheet's."""
     inner = stated(F.array_join(F.regexp_extract_all(F.coalesce(header, F.lit("")), F.lit(r"\(([^)]*)\)"), F.lit(1)), " "))
-    own, around = inner, stated(sheet)
     alone = sheet.startswith(AMBIGUOUS) | (sheet == NOT_STATED)
-    or_sheet = lambda part: F.when(alone | (F.size(own[part]) > 0), own[part]).otherwise(around[part])
-    says = (F.size(own["currencies"]) > 0) | (F.size(own["scales"]) > 0)
-    return F.when(percent | F.coalesce(F.contains(header, F.lit("%")), F.lit(False)), PERCENT).when(says, unit_text(or_sheet("currencies"), or_sheet("scales"))).otherwise(sheet)
+
+    def of(x: Column) -> Column:
+        or_sheet = lambda part: F.when(alone | (F.size(x["own"][part]) > 0), x["own"][part]).otherwise(x["around"][part])
+        says = (F.size(x["own"]["currencies"]) > 0) | (F.size(x["own"]["scales"]) > 0)
+        return F.when(says, let(F.struct(or_sheet("currencies").alias("c"), or_sheet("scales").alias("s")), lambda u: unit_text(u["c"], u["s"]))).otherwise(sheet)
+
+    percent = percent | F.coalesce(F.contains(header, F.lit("%")), F.lit(False))
+    return F.when(percent, PERCENT).otherwise(let(F.struct(inner.alias("own"), stated(sheet).alias("around")), of))
 
 
 def display_scale(number_format: Column) -> Column:
@@ -67,14 +71,14 @@ def display_scale(number_format: Column) -> Column:
 
 def area(text: Column) -> Column:
     """(top, left, bottom, right) of a cell or rectangle in A1 notation, either way round; null for anything else, and outside the grid."""
-    part = lambda k: F.regexp_extract(text, AREA, k)
-    column = lambda k: F.when(part(k) != "", column_number(F.upper(part(k))))
-    row = lambda k: F.when(part(k) != "", part(k).cast("int"))
-    c1, r1 = column(1), row(2)
-    c2, r2 = F.coalesce(column(3), c1), F.coalesce(row(4), r1)
-    inside = (F.least(r1, r2) >= 1) & (F.greatest(r1, r2) <= MAX_ROW) & (F.greatest(c1, c2) <= MAX_COLUMN)
-    long = lambda c: c.cast("long")
-    return F.when(inside, F.struct(long(F.least(r1, r2)).alias("top"), long(F.least(c1, c2)).alias("left"), long(F.greatest(r1, r2)).alias("bottom"), long(F.greatest(c1, c2)).alias("right")))
+    part = lambda k: F.nullif(F.regexp_extract(text, AREA, k), F.lit(""))
+    corners = F.struct(column_number(F.upper(part(1))).alias("c1"), part(2).cast("long").alias("r1"), column_number(F.upper(part(3))).alias("c2"), part(4).cast("long").alias("r2"))
+
+    def box(x: Column) -> Column:
+        c2, r2 = F.coalesce(x["c2"], x["c1"]), F.coalesce(x["r2"], x["r1"])
+        return F.struct(F.least(x["r1"], r2).alias("top"), F.least(x["c1"], c2).cast("long").alias("left"), F.greatest(x["r1"], r2).alias("bottom"), F.greatest(x["c1"], c2).cast("long").alias("right"))
+
+    return let(let(corners, box), lambda b: F.when((b["top"] >= 1) & (b["bottom"] <= MAX_ROW) & (b["right"] <= MAX_COLUMN), b))
 
 
 # --- plans ----------------------------------------------------------------------
@@ -148,10 +152,12 @@ def calculated(steps: DataFrame, refs: DataFrame, cells: DataFrame) -> DataFrame
     a, b, k = F.col("a"), F.col("b"), F.col("k")
     op = lambda name: F.col("op") == name
     safe = lambda x: F.nullif(x, F.lit(0).cast("decimal(20,6)"))
-    text = F.when(op("count"), k.cast("string"))
-    for name, value in (("sum", total), ("average", total / F.nullif(k, F.lit(0)).cast("decimal(10,0)")), ("min", F.array_min(numbers)), ("max", F.array_max(numbers)), ("difference", a - b), ("ratio", a / safe(b)), ("pct_change", ((b - a) * 100).cast("decimal(24,6)") / safe(a))):
-        text = text.when(op(name), rounded(value, F.col("round_to")))
+    value = F.lit(None).cast("decimal(38,16)")
+    for name, made in (("sum", total), ("average", total / F.nullif(k, F.lit(0)).cast("decimal(10,0)")), ("min", F.array_min(numbers)), ("max", F.array_max(numbers)), ("difference", a - b), ("ratio", a / safe(b)), ("pct_change", ((b - a) * 100).cast("decimal(24,6)") / safe(a))):
+        value = F.when(op(name), made.try_cast("decimal(38,16)")).otherwise(value)
     unit = F.when(op("count"), "count").when(op("ratio"), "unitless").when(op("pct_change"), PERCENT).otherwise(F.get("us", F.lit(0)))
-    out = s.withColumn("refusal", why).select("plan", "step", "op", "refusal", F.when(F.col("refusal").isNull(), text).alias("text"), F.when(F.col("refusal").isNull(), unit).alias("units"), F.col("k").alias("inputs"))
+    s = s.withColumn("refusal", why).withColumn("value", F.when(F.col("refusal").isNull(), value))
+    text = F.when(op("count"), F.col("k").cast("string")).otherwise(rounded(F.col("value"), F.col("round_to")))
+    out = s.select("plan", "step", "op", "refusal", F.when(F.col("refusal").isNull(), text).alias("text"), F.when(F.col("refusal").isNull(), unit).alias("units"), F.col("k").alias("inputs"))
     gate = out.groupBy("plan").agg((F.count("refusal") == 0).alias("ok"))
     return out.join(gate, "plan").select("plan", "step", "op", F.when(F.col("ok"), F.col("text")).alias("result"), "units", "inputs", "refusal", "ok")
