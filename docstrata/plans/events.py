@@ -119,19 +119,19 @@ def retention_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "duration", "fiscal_year", F.size("dates").alias("n_dates"), F.array_min("dates").alias("first_date"))
 
 
-QUIET, AGE = 6 * 3600, 24 * 3600
+BATCH_QUIET, BATCH_AGE = 6 * 3600, 24 * 3600
 
 
 @query(f"""WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, epoch_us(ts) AS t, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 b AS (SELECT user_id, i, t AS first, t AS last, 1 AS batch FROM o WHERE i = 1 UNION ALL
-  SELECT o.user_id, o.i, CASE WHEN o.t >= least(b.last + {QUIET * 1000000}, b.first + {AGE * 1000000}) THEN o.t ELSE b.first END, o.t, b.batch + CASE WHEN o.t >= least(b.last + {QUIET * 1000000}, b.first + {AGE * 1000000}) THEN 1 ELSE 0 END
+  SELECT o.user_id, o.i, CASE WHEN o.t >= least(b.last + {BATCH_QUIET * 1000000}, b.first + {BATCH_AGE * 1000000}) THEN o.t ELSE b.first END, o.t, b.batch + CASE WHEN o.t >= least(b.last + {BATCH_QUIET * 1000000}, b.first + {BATCH_AGE * 1000000}) THEN 1 ELSE 0 END
   FROM b JOIN o ON o.user_id = b.user_id AND o.i = b.i + 1)
-SELECT user_id, make_timestamp(min(b.first)) AS first, make_timestamp(max(t)) AS last, make_timestamp(least(max(t) + {QUIET * 1000000}, min(b.first) + {AGE * 1000000})) AS released, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds
+SELECT user_id, make_timestamp(min(b.first)) AS first, make_timestamp(max(t)) AS last, make_timestamp(least(max(t) + {BATCH_QUIET * 1000000}, min(b.first) + {BATCH_AGE * 1000000})) AS released, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds
 FROM b JOIN o USING (user_id, i) GROUP BY user_id, batch""")
 def released_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events in batches released after six hours of quiet or a day after their first, by a stream that keeps open batches in state."""
     columns = [F.col("user_id").alias("key"), F.col("event_type").alias("kind")]
-    rows = run_closed(spark, f"{sf_dir}/events.parquet", columns, batched(QUIET, AGE), "key long, first long, last long, released long, n long, kinds string", "2 days", "batches")
+    rows = run_closed(spark, f"{sf_dir}/events.parquet", columns, batched(BATCH_QUIET, BATCH_AGE), "key long, first long, last long, released long, n long, kinds string", "2 days", "batches")
     at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
     return rows.select(F.col("key").alias("user_id"), at("first"), at("last"), at("released"), "n", "kinds")
 

@@ -14,7 +14,9 @@ def given(monkeypatch, spark):
     monkeypatch.setattr(retrieval, "table", lambda spark, _, name: spark.createDataFrame(list(tables[name][0].items()), f"{tables[name][1]} long, text string"))
 
 
-def test_phrases(spark, given):
+def test_phrases(spark, given, monkeypatch):
+    rows = [(i, t, "READY", "ACTIVE") for i, t in TEXTS.items()] + [(7, "beta", "READY", "REVOKED"), (8, "beta", "FAILED", "ACTIVE")]
+    monkeypatch.setattr(retrieval, "versions", lambda spark, _: spark.createDataFrame(rows, "doc_id long, text string, status string, source_status string"))
     got = sorted(map(tuple, retrieval.phrase_search(spark, "").collect()))
     assert got == [(1, 1), (2, 3), (2, 4), (3, 1), (3, 2), (4, 1), (4, 2)]
 
