@@ -12,6 +12,10 @@ counts in the later of the two first cells only.
 Rectangles have a level on each axis, and either side may be the wider one on
 either axis: one equality join for each of these cases, none of which gives a
 pair of another.
+
+Grids pay where a key has many rows. Keys with ``FEW`` rows a side at most meet
+without them: points of the first axis by their place, and intervals with all
+rows of their key, so that a row stands once or twice and not in every grid.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP = 4  # cells of level k are STEP ** k wide; level_of counts on it
+FEW = 4096  # rows of a key on either side that may meet without grids
 
 
 def width(level: Column) -> Column:
@@ -57,6 +62,41 @@ def overlapping(left: DataFrame, right: DataFrame, axes: list[tuple[str, str, st
     keys = keys or []
     for a, b, c, d in axes:
         left, right = left.where(F.col(a) <= F.col(b)), right.where(F.col(c) <= F.col(d))
+    if not keys:
+        return on_grids(left, right, axes, keys)
+    a, b, c, d = axes[0]
+    counted = [df.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.col(x) < F.col(y)).alias("wide")).withColumn("side", F.lit(k)) for k, (df, x, y) in enumerate(((left, a, b), (right, c, d)))]
+    every = counted[0].union(counted[1])
+    seen = {r["side"]: r for r in every.groupBy("side").agg(F.max("wide").alias("wide"), F.count_if(F.col("n") > FEW).alias("many")).collect()}
+    wide = [k in seen and seen[k]["wide"] for k in (0, 1)]
+    if not any(r["many"] for r in seen.values()):
+        return in_keys(left, right, axes, keys, *wide)
+    many = every.where(F.col("n") > FEW).select(*keys).distinct()
+    split = lambda how: (left.join(many, keys, how), right.join(many, keys, how), axes, keys)
+    return in_keys(*split("left_anti"), *wide).union(on_grids(*split("left_semi")))
+
+
+def in_keys(left: DataFrame, right: DataFrame, axes: list[tuple[str, str, str, str]], keys: list[str], left_wide: bool, right_wide: bool) -> DataFrame:
+    """Pairs of keys with few rows; ``left_wide`` and ``right_wide`` tell whether a side has intervals on the first axis that are no points."""
+    a, b, c, d = axes[0]
+    points = left.where(F.col(a) == F.col(b))
+    cases = [(points.withColumn("_at", F.col(a)), right.where(F.col(c) == F.col(d)).withColumn("_at", F.col(c)), [*keys, "_at"])]
+    if left_wide:
+        cases.append((left.where(F.col(a) < F.col(b)), right, keys))
+    if right_wide:
+        cases.append((points, right.where(F.col(c) < F.col(d)), keys))
+    ok = F.lit(True)
+    for lo, hi, start, stop in axes:
+        ok = ok & (F.col(lo) <= F.col(stop)) & (F.col(start) <= F.col(hi))
+    out = None
+    for one, two, on in cases:
+        pairs = one.join(two, on).where(ok).select(*keys, *(x for x in left.columns if x not in keys), *(x for x in right.columns if x not in keys))
+        out = pairs if out is None else out.union(pairs)
+    return out
+
+
+def on_grids(left: DataFrame, right: DataFrame, axes: list[tuple[str, str, str, str]], keys: list[str]) -> DataFrame:
+    """Pairs through the cells of grids, for keys with any number of rows, or without keys."""
     levels = lambda df, ends: df.select(F.array(*(level_of(F.col(x), F.col(y)) for x, y in ends)).alias("k")).distinct().collect()  # noqa: E731  a few small numbers
     both = [levels(left, [(a, b) for a, b, _, _ in axes]), levels(right, [(c, d) for _, _, c, d in axes])]
     used = [[sorted({r["k"][i] for r in side}) for side in both] for i in range(len(axes))]
