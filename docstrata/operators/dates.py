@@ -16,9 +16,15 @@ PATTERNS = (
     r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b",
     r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b",
 )
+AHEAD = ("[ADFJMNOSadfjmnos]", "[0-9]", "[0-9]", "[0-9]")  # what each may begin with, looked for first: at most places that alone decides
 PLACES = ((3, 1, 2), (3, 2, 1), (1, 2, 3), (3, 1, 2))  # groups of year, month and day
 
 
+def quick(k: int) -> str:
+    flags = "(?i)" if PATTERNS[k].startswith("(?i)") else ""
+    return f"{flags}(?={AHEAD[k]}){PATTERNS[k].removeprefix(flags)}"
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """(m, start, stop) of all matches, by characters from 0: what lies between matches gives their places."""
 
@@ -37,10 +43,8 @@ def spans_of(text: Column, pattern: str) -> Column:
 
 def number_of(word: Column) -> Column:
     """The month a word or number stands for."""
-    by_name = F.lit(None).cast("int")
-    for k, m in enumerate(MONTHS):
-        by_name = F.when(F.lower(F.left(word, F.lit(3))) == m[:3], k + 1).otherwise(by_name)
-    return F.coalesce(by_name, word.try_cast("int"))
+    named = F.create_map(*(F.lit(x) for k, m in enumerate(MONTHS) for x in (m[:3], k + 1)))
+    return F.coalesce(F.try_element_at(named, F.lower(F.left(word, F.lit(3)))), word.try_cast("int"))
 
 
 def first_apart(spans: Column) -> Column:
@@ -58,12 +62,14 @@ def first_apart(spans: Column) -> Column:
 def dates_in(text: Column) -> Column:
     """(start, stop, iso) of every date of the calendar in a text, in order; a day that no month has is none. Null texts give none."""
 
-    def of(k: int) -> Column:
+    def of(text: Column, k: int) -> Column:
         part = lambda m, g: F.regexp_extract(m, PATTERNS[k], PLACES[k][g])
-        iso = lambda m: F.make_date(part(m, 0).cast("int"), number_of(part(m, 1)), part(m, 2).cast("int"))
-        real = lambda m: (number_of(part(m, 1)).between(1, 12)) & (part(m, 0).cast("int") > 0) & (part(m, 2).cast("int") > 0) & (part(m, 2).cast("int") <= F.dayofmonth(F.last_day(F.make_date(part(m, 0).cast("int"), F.greatest(F.least(number_of(part(m, 1)), F.lit(12)), F.lit(1)), F.lit(1)))))
-        made = F.transform(spans_of(text, PATTERNS[k]), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.when(real(x["m"]), F.date_format(iso(x["m"]), "yyyy-MM-dd")).alias("iso")))
+        two = lambda n: F.lpad(n, 2, "0")
+        month = (lambda m: let(part(m, 1), number_of).cast("string")) if MONTH in PATTERNS[k] else (lambda m: part(m, 1))
+        day = lambda m: F.concat(part(m, 0), F.lit("-"), two(month(m)), F.lit("-"), two(part(m, 2)))
+        real = lambda d: F.when(d.try_cast("date").isNotNull() & ~d.startswith("0000"), d)
+        made = F.transform(spans_of(text, quick(k)), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), let(day(x["m"]), real).alias("iso")))
         return F.filter(made, lambda x: x["iso"].isNotNull())
 
     none = F.array().cast("array<struct<start:int,stop:int,iso:string>>")
-    return F.coalesce(let(F.concat(*map(of, range(len(PATTERNS)))), first_apart), none)
+    return F.coalesce(let(let(text, lambda t: F.concat(*(of(t, k) for k in range(len(PATTERNS))))), first_apart), none)  # a text that is made by an expression is made once
