@@ -24,14 +24,15 @@ def keys_of(name: Column) -> Column:
     return F.filter(F.array_distinct(F.array(normal_name(name), core_name(name))), usable)
 
 
-def word_windows(question: Column) -> Column:
-    """(key, start, stop, capital) of every run of one to six words, by word positions from 0; a written word with inner marks may be several."""
+def word_windows(question: Column, sizes: list[int] | None = None) -> Column:
+    """(key, start, stop, capital) of every run of one to six words (or of ``sizes`` words), by word positions from 0; a written word with inner marks may be several."""
     raw = F.regexp_extract_all(question, F.lit(RAW), F.lit(0))
     flat = F.flatten(F.transform(raw, lambda r: F.transform(F.filter(F.split(normal_name(r), " "), lambda w: w != ""), lambda w: F.struct(w.alias("w"), r.rlike(r"\A\p{Lu}").alias("up")))))
+    lengths = F.array(*map(F.lit, range(1, WORDS + 1) if sizes is None else sizes)).cast("array<int>")
 
     def at(ws: Column) -> Column:
         run = lambda i, k: F.struct(F.array_join(F.transform(F.slice(ws, i + 1, k), lambda x: x["w"]), " ").alias("key"), i.alias("start"), (i + k).alias("stop"), F.get(ws, i)["up"].alias("capital"))
-        each = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(WORDS), F.size(ws) - i)), lambda k: run(i, k))
+        each = lambda i: F.transform(F.filter(lengths, lambda k: k <= F.size(ws) - i), lambda k: run(i, k))
         return F.when(F.size(ws) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(ws) - 1), each)))
 
     return F.transform(F.array(flat), at)[0]
@@ -43,8 +44,10 @@ def named(questions: DataFrame, variants: DataFrame) -> DataFrame:
     Windows meet variants by an equality join. A window is inside a longer one
     if one that starts at most five words earlier ends no sooner, so a sliding
     maximum of ends decides, and no question's names are compared in pairs.
+    Only windows of as many words as some variant has are made.
     """
-    w = questions.select("id", F.explode(word_windows(F.col("text"))).alias("w")).select("id", "w.*").where(usable(F.col("key")))
+    sizes = sorted(r["n"] for r in variants.select(F.size(F.split("key", " ")).alias("n")).where(F.col("n") <= WORDS).distinct().collect())  # six at most
+    w = questions.select("id", F.explode(word_windows(F.col("text"), sizes)).alias("w")).select("id", "w.*").where(usable(F.col("key")))
     hits = w.where((F.col("stop") - F.col("start") > 1) | F.col("capital")).join(variants.select("key").distinct(), "key", "left_semi")
     by_start = Window.partitionBy("id").orderBy("start")
     before = F.max("stop").over(by_start.rangeBetween(1 - WORDS, -1))

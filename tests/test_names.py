@@ -68,3 +68,11 @@ def test_entities_do_not_depend_on_order(spark):
         got.append({x["key"]: x["entity"] for x in entities(spark.createDataFrame(names, "holder long, name string").repartition(3)).collect()})
     assert got[0] == got[1] and got[0].keys() == want.keys()
     assert len(set(got[0].values())) == len(set(want.values())) == len({(got[0][k], want[k]) for k in want})
+
+
+def test_windows_of_wanted_sizes(spark):
+    """Windows of as many words as no variant has are not made, and the others are as they were."""
+    q = spark.createDataFrame([(1, "Did Anna Lee Smith call the Big Red Dog?"), (2, ""), (3, None)], "id int, text string")
+    every, some = ({r["id"]: r["w"] for r in q.select("id", word_windows(F.col("text"), s).alias("w")).collect()} for s in (None, [2, 3]))
+    assert [w for w in every[1] if w["stop"] - w["start"] in (2, 3)] == some[1] and len(some[1]) < len(every[1])
+    assert some[2] is None and some[3] is None
