@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import column_number
 from .chunking import let
-from .intervals import overlapping
 
 # Words for currencies and scales, the grid's limits, operations, and the budget of a step.
 CURRENCIES = {"INR": "inr rs rupee rupees ₹", "USD": "usd dollar dollars $", "EUR": "eur euro euros €", "GBP": "gbp pound pounds £"}
@@ -100,8 +99,8 @@ def calculated(steps: DataFrame, refs: DataFrame, cells: DataFrame) -> DataFrame
     text, error, missing (a formula without a cached value), unit.
 
     Steps that ask for more than the budget are refused before any cell is
-    read, so what a step gathers is bounded; areas meet cells through the
-    rectangle join. The first reason in the order below is the refusal.
+    read, so the areas of a step have few places, and each meets its cells by
+    an equality join. The first reason in the order below is the refusal.
     """
     asked = refs.withColumn("a", area(F.col("area"))).withColumn("n", (F.col("a.bottom") - F.col("a.top") + 1) * (F.col("a.right") - F.col("a.left") + 1))
     shape = asked.groupBy("plan", "step").agg(F.count("*").alias("refs"), F.count_if(F.col("a").isNull()).alias("bad"), F.sum("n").alias("cells"), F.max("n").alias("widest"))
@@ -118,14 +117,15 @@ def calculated(steps: DataFrame, refs: DataFrame, cells: DataFrame) -> DataFrame
     )
     s = s.withColumn("before", before)
     readable = asked.join(s.where("before IS NULL").select("plan", "step"), ["plan", "step"], "left_semi")
-    at = [F.col(f"a.{x}").alias(x) for x in ("top", "bottom", "left", "right")]
-    boxes = readable.select("plan", "step", "ref", "book", "sheet", "n", *at)
-    placed = cells.select("book", "sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "number", "text", "error", "missing", "unit").withColumn("row_to", F.col("row")).withColumn("col_to", F.col("col"))
-    met = overlapping(boxes, placed, [("top", "bottom", "row", "row_to"), ("left", "right", "col", "col_to")], ["book", "sheet"])
-    # A single cell that no row describes is blank as well, so every ref stands at least once.
-    alone = boxes.where("n = 1").join(met.select("plan", "step", "ref").distinct(), ["plan", "step", "ref"], "left_anti")
-    none = lambda c: F.lit(None).cast(placed.schema[c].dataType).alias(c)
-    every = met.select("plan", "step", "ref", "n", "row", "col", "number", "text", "error", "missing", "unit").union(alone.select("plan", "step", "ref", "n", F.col("top"), F.col("left"), *map(none, ("number", "text", "error", "missing", "unit"))))
+    boxes = readable.select("plan", "step", "ref", "book", "sheet", "n", F.col("a.top").alias("top"), F.col("a.bottom").alias("bottom"), F.col("a.left").alias("left"), F.col("a.right").alias("right"))
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    placed = cells.select("book", "sheet", whole("row"), whole("col"), "number", "text", "error", "missing", "unit")
+    # Cells outside all areas of their sheet go before they are dealt out by place.
+    hull = boxes.groupBy("book", "sheet").agg(F.min("top").alias("_t"), F.max("bottom").alias("_b"), F.min("left").alias("_l"), F.max("right").alias("_r"))
+    near = placed.join(hull, ["book", "sheet"]).where(F.col("row").between(F.col("_t"), F.col("_b")) & F.col("col").between(F.col("_l"), F.col("_r"))).drop("_t", "_b", "_l", "_r")
+    spots = boxes.withColumn("row", F.explode(F.sequence("top", "bottom"))).withColumn("col", F.explode(F.sequence("left", "right"))).drop("top", "bottom", "left", "right")
+    # A single cell that no row describes is blank as well, so every ref of one cell stands at least once.
+    every = spots.join(near.withColumn("_met", F.lit(True)), ["book", "sheet", "row", "col"], "left").where(F.col("_met") | (F.col("n") == 1))
     blank = F.col("number").isNull() & F.coalesce(F.col("text") == "", F.col("text").isNull())
     fault = F.when(F.coalesce("missing", F.lit(False)), "no cached value").when(F.col("error").isNotNull(), "error value").when(blank & (F.col("n") == 1), "blank cell").when(~blank & F.col("number").isNull(), "not a number")
     place = F.struct("ref", "row", "col")

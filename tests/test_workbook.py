@@ -158,3 +158,18 @@ def test_plans(spark):
         assert (x["refusal"], x["ok"]) == (refusal, ok[x["plan"]]), (x, want[x["plan"], x["step"]])
         assert x["result"] == (result if ok[x["plan"]] else None), (x, result)
     assert len({v[1] for v in want.values()}) > 8
+
+
+def test_a_large_sheet_stands_once(spark):
+    """A sheet of more rows than keys without grids have: its cells stand in no grids, and none is counted before the plans run."""
+    cells = spark.range(1, 6001).selectExpr("1L AS book", "'S' AS sheet", "int(id) AS row", "2 AS col", "CAST(id AS decimal(20,6)) AS number", "CAST(NULL AS string) AS text", "CAST(NULL AS string) AS error", "false AS missing", "'USD' AS unit")
+    steps = spark.createDataFrame([(1, 1, "sum", 0), (1, 2, "max", 0), (1, 3, "sum", 0), (2, 1, "sum", 0)], "plan long, step int, op string, round_to int")
+    refs = spark.createDataFrame([(1, 1, 0, 1, "S", "B5001:B5003"), (1, 2, 0, 1, "S", "B2:B5"), (1, 2, 1, 1, "S", "A3:B4"), (1, 3, 0, 1, "S", "B6000:B6050"), (2, 1, 0, 1, "S", "C9")], "plan long, step int, ref int, book long, sheet string, area string")
+    spark.sparkContext.setJobGroup("large sheet", "")
+    try:
+        out = w.calculated(steps, refs, cells)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("large sheet")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    got = sorted((x["plan"], x["step"], x["result"], x["inputs"], x["refusal"]) for x in out.collect())
+    assert got == [(1, 1, "15006", 3, None), (1, 2, "5", 6, None), (1, 3, "6000", 1, None), (2, 1, None, 0, "blank cell")]
