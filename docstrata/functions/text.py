@@ -46,9 +46,25 @@ def stem(t: Column) -> Column:
     return F.when((F.length(t) > 3) & t.endswith("s") & ~t.endswith("ss"), F.left(t, F.length(t) - 1)).otherwise(t)
 
 
+def plain(t: Column) -> Column:
+    """A lower-case text without marks."""
+    return F.when(F.octet_length(t) > F.length(t), F.translate(t, MARKED, PLAIN)).otherwise(t)
+
+
+def indexed(text: Column) -> Column:
+    """Tokens that lexical search indexes, as they stand in the text: no marked letter ends a token, so marks go later."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return F.filter(words, lambda t: ~plain(t).isin(STOPWORDS))
+
+
+def term(token: Column) -> Column:
+    """What an indexed token is asked for by: its stem without marks."""
+    return stem(plain(token))
+
+
 def terms(text: Column) -> Column:
     """What lexical search indexes and asks for: stems of tokens without marks and stop words."""
-    return F.transform(F.filter(tokens(F.translate(F.lower(text), MARKED, PLAIN)), lambda t: ~t.isin(STOPWORDS)), stem)
+    return F.transform(indexed(text), term)
 
 
 STEM_SQL = "CASE WHEN length({0}) > 3 AND {0} LIKE '%s' AND {0} NOT LIKE '%ss' THEN left({0}, length({0}) - 1) ELSE {0} END"
