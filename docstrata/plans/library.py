@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import KEYWORD_OK, VECTOR_OK, VERSIONS, keyword_eligible, source_status, table, vector_eligible, versions, windows, windows_sql
+from ..operators.overlap import overlapping_windows
 from ..registry import query
+from .retrieval import small
 
 
 @query(f"WITH {VERSIONS} SELECT doc_id, source_id, ({KEYWORD_OK}) AS keyword_ok, ({VECTOR_OK}) AS vector_ok FROM ver")
@@ -90,11 +92,6 @@ def dedupe_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHINGLES = 6
 
 
-def shingled(win: DataFrame, name: str) -> DataFrame:
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLES + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, SHINGLES), " ")))
-    return win.where(F.size("words") >= SHINGLES).select("doc_id", F.col("ordinal").alias(name), F.explode(F.array_distinct(grams)).alias("g"))
-
-
 @query(f"""WITH {windows_sql("a", 200, 40)}, {windows_sql("b", 150, 30)},
 ga AS (SELECT DISTINCT doc_id, ordinal AS old_ordinal, words[i:i+5] AS g FROM (SELECT *, unnest(generate_series(1, len(words) - 5)) AS i FROM a WHERE len(words) >= 6)),
 gb AS (SELECT DISTINCT doc_id, ordinal AS new_ordinal, words[i:i+5] AS g FROM (SELECT *, unnest(generate_series(1, len(words) - 5)) AS i FROM b WHERE len(words) >= 6)),
@@ -102,10 +99,12 @@ m AS (SELECT doc_id, old_ordinal, new_ordinal, count(*) AS shared FROM ga JOIN g
 SELECT doc_id, old_ordinal, new_ordinal, shared FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, old_ordinal ORDER BY shared DESC, new_ordinal) = 1""")
 def alias_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which new chunk replaces each old one after a change of recipe: most shared word 6-grams."""
-    d = table(spark, sf_dir, "documents")
-    m = shingled(windows(d, 200, 40), "old_ordinal").join(shingled(windows(d, 150, 30), "new_ordinal"), ["doc_id", "g"]).groupBy("doc_id", "old_ordinal", "new_ordinal").agg(F.count("*").alias("shared"))
-    best = m.groupBy("doc_id", "old_ordinal").agg(F.max(F.struct("shared", (-F.col("new_ordinal")).alias("neg"))).alias("b"))
-    return best.select("doc_id", "old_ordinal", (-F.col("b.neg")).alias("new_ordinal"), F.col("b.shared").alias("shared"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id IS NOT NULL")
+    again = small(d.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    once = d.join(again, "doc_id", "left_anti").select("doc_id", F.array("text").alias("texts"))  # a document's windows meet in its row, so that nothing is shuffled
+    more = d.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    found = overlapping_windows((200, 40), (150, 30), SHINGLES)
+    return once.union(more).mapInArrow(found, f"doc_id {dict(d.dtypes)['doc_id']}, old_ordinal int, new_ordinal int, shared long")
 
 
 @query(f"""WITH {VERSIONS}, lexical AS (SELECT doc_id FROM ver WHERE status <> 'FAILED'), vector AS (SELECT vec_id AS doc_id FROM embeddings), now AS (SELECT doc_id FROM ver WHERE {VECTOR_OK}),
