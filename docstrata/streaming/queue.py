@@ -73,19 +73,21 @@ def queued() -> Ordered:
 
 
 def run_closed(spark: SparkSession, path: str, columns: list[Column], processor: Ordered, schema: str, late: str, name: str) -> DataFrame:
-    """What a fold leaves of the event files at ``path`` after all timers have fired: the stream is run over all files there are, and once more after a last event that moves the watermark past them."""
+    """What a fold leaves of the event files at ``path`` after all timers have fired: one micro-batch takes all files there are, so that no event can come late
+    however their times are dealt to files, and a last event that moves the watermark past them; the next one has no data and fires the timers.
+
+    The last event is any other at a far time; it is never folded, since the watermark stays behind it. Rows without key or time take no part: a null key
+    would turn the keys beside it to floating point in pandas.
+    """
     seen = spark.read.parquet(path)
+    needed = lambda rows: rows.withColumn("ts", F.col("ts").cast("timestamp")).select(*columns, "ts").where("key IS NOT NULL AND ts IS NOT NULL")
+    top = needed(seen).agg(F.max("ts")).first()[0]
+    if top is None:
+        return spark.createDataFrame([], schema)
     beat, out, state = (folder(spark, f"{name}-{x}") for x in ("beat", "out", "state"))
-    seen.limit(0).write.parquet(beat)
-    read = lambda p: spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 16).parquet(p)
-    for last in (False, True):
-        if last:
-            top = seen.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
-            if top is None:
-                break
-            far = F.lit(top + datetime.timedelta(days=3650)).cast(seen.schema["ts"].dataType)
-            spark.range(1).select(*(far.alias(c) if c == "ts" else F.lit(None).cast(seen.schema[c].dataType).alias(c) for c in seen.columns)).write.mode("append").parquet(beat)
-        events = read(source_of(spark, path)).union(read(beat)).withColumn("ts", F.col("ts").cast("timestamp")).where("ts IS NOT NULL").select(*columns, "ts")
-        run = folded(events, ["key"], "ts", late, processor, schema).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-        run.awaitTermination()
-    return spark.read.schema(schema).parquet(out) if seen.limit(1).count() else spark.createDataFrame([], schema)
+    last = needed(seen).limit(1).withColumn("ts", F.lit(top + datetime.timedelta(days=3650)))
+    last.write.parquet(beat)
+    events = needed(spark.readStream.schema(seen.schema).parquet(source_of(spark, path))).union(spark.readStream.schema(last.schema).parquet(beat))
+    run = folded(events, ["key"], "ts", late, processor, schema).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(schema).parquet(out)

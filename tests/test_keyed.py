@@ -3,9 +3,11 @@
 import datetime
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docstrata.streaming import keyed
 from docstrata.streaming.queue import batched, queued, run_closed
 
 START = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
@@ -75,3 +77,38 @@ def test_queue_steps(events, want):
     for t, e in enumerate(events):
         kept, _ = queued().step(kept, (t, *e), t)
     assert (kept[:4] if kept else None) == want
+
+
+BATCHES = "key long, first long, last long, released long, n long, kinds string"
+
+
+def one_each(t, user):
+    """A batch of one event, released after a minute."""
+    at = int(t.timestamp() * 10**6)
+    return (user, at, at, at + 60_000_000, 1, "x")
+
+
+def test_many_files_with_the_newest_first(spark, tmp_path):
+    rows = [(START + datetime.timedelta(hours=h), h % 2, "x") for h in range(60)] + [(START + datetime.timedelta(minutes=2 * m), 7, "x") for m in range(2500)]
+    path = str(tmp_path / "all.parquet")
+    for k in range(35, -1, -1):
+        spark.createDataFrame([r for r in rows if (r[0] - START).total_seconds() // 8400 == k], "ts timestamp, user_id long, kind string").coalesce(1).write.mode("append").parquet(path)
+    got = sorted(tuple(r) for r in run_closed(spark, path, [F.expr(KEY), "kind"], batched(60, 200), BATCHES, "1 minute", "test").collect())
+    assert got == sorted(one_each(t, u) for t, u, _ in rows)
+
+
+def test_rows_without_key_take_no_part(spark, tmp_path):
+    rows = [(START + datetime.timedelta(hours=h), u, "x") for h in range(3) for u in (None, *range(40))] + [(None, 3, "x")]
+    path = str(tmp_path / "all.parquet")
+    spark.createDataFrame(rows, "ts timestamp, user_id long, kind string").coalesce(1).write.parquet(path)
+    got = sorted(tuple(r) for r in run_closed(spark, path, [F.expr(KEY), "kind"], batched(60, 200), BATCHES, "2 days", "test").collect())
+    assert got == sorted(one_each(t, u) for t, u, _ in rows if t and u is not None)
+
+
+def test_gathered(monkeypatch):
+    monkeypatch.setattr(keyed, "GATHER", 4)
+    schema = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("kind", pa.string())])
+    given = [pa.RecordBatch.from_pydict({"key": [k % 2 for k in part], "t": list(part), "kind": [None if k == 3 else str(k) for k in part]}, schema) for part in (range(3), range(3, 6), range(6, 7), range(7, 7))]
+    got = [r for b in keyed.gathered(iter(given), ["key"], ["t", "kind"]) for r in b.to_pylist()]
+    assert [r["last"] for r in got] == [4, 5, 6]
+    assert sorted((t, r["key"]) for r in got for t in r["t"]) == [(k, k % 2) for k in range(7)] and {t: k for r in got for t, k in zip(r["t"], r["kind"])} == {k: None if k == 3 else str(k) for k in range(7)}
